@@ -21,44 +21,47 @@ from .kernel import LOWER, Prefix, buffers, windows, with_columns, word_bounds
 SLOTS = 1 << 18
 #: Bytes of a letter run's first part that are features too, so that inflected words share weight.
 STEMS = (4, 5, 6)
+#: Upper ends of the steps of a form feature that is a share.
+STEPS = (0.0, 0.01, 0.04, 0.12, 0.3)
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>{}[]~^_\\=@!")] = True
 
 
-def features(column: pa.Array) -> list[np.ndarray]:
-    """Sorted distinct feature slots of each text."""
+def features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text number, feature slot) pairs in order, only slots with ``wanted`` if given."""
     data, offsets = buffers(column)
     n = len(offsets) - 1
-    starts, ends, first = word_bounds(np.where(_LETTER[data], LOWER[data], 0x20).astype(np.uint8), offsets)
-    prefix = Prefix(LOWER[data])
-    forms = [prefix.hash(starts, ends)] + [prefix.hash(starts, np.minimum(ends, starts + k)) ^ np.uint64(k) for k in STEMS]
-    slots = (np.stack(forms, 1) % np.uint64(SLOTS)).astype(np.int32)
-    w_starts, w_ends, w_first = word_bounds(data, offsets)
-    w_hash = prefix.hash(w_starts, w_ends)
+    low = LOWER[data]
+    prefix = Prefix(low)
+    starts, ends, first = word_bounds(np.where(_LETTER[data], low, 0x20).astype(np.uint8), offsets)
+    doc = np.repeat(np.arange(n), np.diff(first))
+    pairs = []
+    for k in (None, *STEMS):
+        hashes = prefix.hash(starts, ends) if k is None else prefix.hash(starts, np.minimum(ends, starts + k)) ^ np.uint64(k)
+        slots = (hashes % np.uint64(SLOTS)).astype(np.int64)
+        use = slice(None) if wanted is None else wanted[slots]
+        pairs.append(doc[use] * SLOTS + slots[use])
 
     def per_doc(flags: np.ndarray) -> np.ndarray:
         return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[offsets])
 
-    letters, symbols = per_doc(_LETTER[data]), per_doc(_SYMBOL[data])
-    upper = per_doc((data >= 65) & (data <= 90))
-    digits, bars = per_doc((data >= 48) & (data <= 57)), per_doc(data == 0x7C)
-    words = np.diff(w_first)
-    out = []
-    for i in range(n):
-        grams = windows(w_hash[w_first[i] : w_first[i + 1]], 5)
-        repeats = 1 - len(np.unique(grams)) / max(len(grams), 1) if len(grams) else 0.0
-        size = max(int(letters[i]), 1)
-        form = [_step(symbols[i] / size), _step(upper[i] / size), _step(digits[i] / size), _step(bars[i] / size), _step(repeats), min(int(words[i]).bit_length(), 12)]
-        own = [(0x51ED27 * (k + 1) + 7919 * step) % SLOTS for k, step in enumerate(form)]
-        out.append(np.unique(np.concatenate([slots[first[i] : first[i + 1]].ravel(), np.array(own, np.int32)])).astype(np.int32))
-    return out
-
-
-def _step(share: float) -> int:
-    """0 for none, then 1 to 5 by size."""
-    return int(np.searchsorted([0.0, 0.01, 0.04, 0.12, 0.3], share, "left"))
+    w_starts, w_ends, w_first = word_bounds(data, offsets)
+    w_hash, words = prefix.hash(w_starts, w_ends), np.diff(w_first)
+    repeats = np.zeros(n)
+    for i in np.flatnonzero(words > 5):
+        grams = np.sort(windows(w_hash[w_first[i] : w_first[i + 1]], 5))
+        repeats[i] = np.count_nonzero(grams[1:] == grams[:-1]) / len(grams)
+    letters = np.maximum(per_doc(_LETTER[data]), 1)
+    shares = [per_doc(_SYMBOL[data]) / letters, per_doc((data >= 65) & (data <= 90)) / letters, per_doc((data >= 48) & (data <= 57)) / letters, per_doc(data == 0x7C) / letters, repeats]
+    forms = [np.searchsorted(STEPS, share, "left") for share in shares] + [np.searchsorted(1 << np.arange(12), words, "right")]
+    for k, step in enumerate(forms):
+        slots = (0x51ED27 * (k + 1) + 7919 * step) % SLOTS
+        use = slice(None) if wanted is None else wanted[slots]
+        pairs.append((np.arange(n) * SLOTS + slots)[use])
+    found = np.unique(np.concatenate(pairs))
+    return found // SLOTS, found % SLOTS
 
 
 @dataclass
@@ -73,45 +76,45 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, *, n_grades: int, penalty: float = 0.02, steps: int = 250, min_rows: int = 5) -> Model:
+def fit(rows: list[np.ndarray], grades: np.ndarray, *, n_grades: int, penalty: float = 0.005, steps: int = 200, min_z: float = 3.0) -> Model:
     """Maximum penalised likelihood by full-batch Adam, deterministic.
 
-    A feature of fewer than ``min_rows`` rows gets no weight.  Without rows, all
-    weights are 0 and the thresholds are -1, -2 … about 0, so that every text
+    A feature's value is the log-odds ratio of its presence below the top grade
+    against the top grade; a feature whose ratio is within ``min_z`` standard
+    errors of 0 gets no weight.  Without rows, all weights are 0 and every text
     has the top grade as its most likely one.
     """
     weights = np.zeros(SLOTS)
-    theta = np.linspace(-2.0, -1.0, n_grades - 1)
-    if not len(rows):
-        return Model(weights.astype(np.float32), theta)
-    seen = np.bincount(np.concatenate(rows), minlength=SLOTS)
-    used = np.flatnonzero(seen >= min_rows)
+    cuts = np.linspace(-2.0, -1.0, n_grades - 1)
+    low = grades < n_grades - 1
+    if not len(rows) or low.all() or not low.any():
+        return Model(weights.astype(np.float32), cuts)
+    cols, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    bad, all_ = np.bincount(cols[low[owner]], minlength=SLOTS), np.bincount(cols, minlength=SLOTS)
+    a, b, c, d = bad + 0.5, all_ - bad + 0.5, low.sum() - bad + 0.5, (~low).sum() - (all_ - bad) + 0.5
+    odds = np.log(a * d / (b * c))
+    used = np.flatnonzero((np.abs(odds) > min_z * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)) & (all_ >= 5))
     place = np.full(SLOTS, -1)
     place[used] = np.arange(len(used))
-    cols = place[np.concatenate(rows)]
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[cols >= 0]
-    cols = cols[cols >= 0]
-    w, cuts = np.zeros(len(used)), np.quantile(grades, np.linspace(0, 1, n_grades + 1)[1:-1]) * 0 + theta
+    cols = place[cols]
+    owner, cols = owner[cols >= 0], cols[cols >= 0]
+    value = -odds[used][cols]
+    n, levels, at = len(rows), np.arange(1, n_grades), np.arange(len(rows))
+    w = np.zeros(len(used))
     m = v = np.zeros(len(used) + n_grades - 1)
-    n, levels = len(rows), np.arange(1, n_grades)
-    at_least = grades[:, None] >= levels[None, :]
     for step in range(1, steps + 1):
-        score = np.bincount(owner, weights=w[cols], minlength=n)
-        upper = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -40, 40))), np.zeros((n, 1))], axis=1)
-        own, nxt = upper[np.arange(n), grades], upper[np.arange(n), grades + 1]
-        p = np.maximum(own - nxt, 1e-9)
-        d_own, d_nxt = own * (1 - own), nxt * (1 - nxt)
-        slope = (d_own - d_nxt) / p
-        g_w = penalty * w - np.bincount(cols, weights=slope[owner], minlength=len(used)) / n * 40
-        g_cut = np.zeros(n_grades - 1)
-        for k in levels:
-            g_cut[k - 1] = (np.sum(d_own[grades == k] / p[grades == k]) - np.sum(d_nxt[grades + 1 == k] / p[grades + 1 == k])) / n * 40
+        score = np.bincount(owner, weights=w[cols] * value, minlength=n)
+        tails = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -40, 40))), np.zeros((n, 1))], axis=1)
+        own, above = tails[at, grades], tails[at, grades + 1]
+        p = np.maximum(own - above, 1e-9)
+        d_own, d_above = own * (1 - own) / p, above * (1 - above) / p
+        g_w = penalty * w - np.bincount(cols, weights=(d_own - d_above)[owner] * value, minlength=len(used)) / n
+        g_cut = [(d_own[grades == k].sum() - d_above[grades + 1 == k].sum()) / n for k in levels]
         grad = np.concatenate([g_w, g_cut])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, cuts = w - move[: len(used)], np.sort(cuts - move[len(used) :])
-    del at_least
-    weights[used] = w
+    weights[used] = w * -odds[used]
     return Model(weights.astype(np.float32), cuts)
 
 
@@ -127,13 +130,17 @@ def train(docs: DataFrame, ratings: DataFrame, *, grade: str = "grade", key: str
     found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(rated), "k").where("t IS NOT NULL")
 
     def make():
-        return lambda column: {"slots": [x.tolist() for x in features(column)]}
+        def work(column: pa.Array) -> dict[str, object]:
+            doc, slots = features(column)
+            return {"slots": [x.tolist() for x in np.split(slots, np.searchsorted(doc, np.arange(1, len(column))))]}
+
+        return work
 
     rows = with_columns(found, ["t"], [T.StructField("slots", T.ArrayType(T.IntegerType()))], make).select("k", "g", "slots").orderBy(F.xxhash64("k"), "k", "g").limit(max_rows).collect()
     return fit([np.array(r.slots, np.int32) for r in rows], np.array([r.g for r in rows], np.int64), n_grades=n_grades)
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text", select_at: int | None = None, threshold: float = 0.5, expected: str = "expected_grade", tail: str = "tail_prob", kept: str = "kept") -> DataFrame:
+def score(docs: DataFrame, model: Model, *, text: str = "text", select_at: int | None = None, threshold: float = 0.75, expected: str = "expected_grade", tail: str = "tail_prob", kept: str = "kept") -> DataFrame:
     """``docs`` plus the expected grade, P(grade >= ``select_at``) and whether that reaches ``threshold``.
 
     ``select_at`` is the top grade unless given.  A null or empty text is scored
@@ -147,9 +154,8 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", select_at: int |
         model = context.value
 
         def work(column: pa.Array) -> dict[str, object]:
-            rows = features(column)
-            total = np.array([model.weights[r].sum(dtype=np.float64) for r in rows])
-            tails = model.tails(total) if len(rows) else np.zeros((0, len(model.thresholds)))
+            doc, slots = features(column, model.weights != 0)
+            tails = model.tails(np.bincount(doc, weights=model.weights[slots], minlength=len(column)))
             return {expected: tails.sum(1), tail: tails[:, level - 1], kept: tails[:, level - 1] >= threshold}
 
         return work
