@@ -118,7 +118,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, *, n_grades: int, penalty: f
     return Model(weights.astype(np.float32), cuts)
 
 
-def train(docs: DataFrame, ratings: DataFrame, *, grade: str = "grade", key: str = "doc_id", text: str = "text", n_grades: int = 3, max_rows: int = 8000) -> Model:
+def train(docs: DataFrame, ratings: DataFrame, *, grade: str = "grade", key: str = "doc_id", text: str = "text", n_grades: int = 3, max_rows: int = 6000) -> Model:
     """Model from the rated documents; at most ``max_rows`` of them, by least hash of the key.
 
     ``grade`` runs from 0 to ``n_grades - 1``; ratings that are null or outside
@@ -132,12 +132,12 @@ def train(docs: DataFrame, ratings: DataFrame, *, grade: str = "grade", key: str
     def make():
         def work(column: pa.Array) -> dict[str, object]:
             doc, slots = features(column)
-            return {"slots": [x.tolist() for x in np.split(slots, np.searchsorted(doc, np.arange(1, len(column))))]}
+            return {"slots": [x.tobytes() for x in np.split(slots.astype("<i4"), np.searchsorted(doc, np.arange(1, len(column))))]}
 
         return work
 
-    rows = with_columns(found, ["t"], [T.StructField("slots", T.ArrayType(T.IntegerType()))], make).select("k", "g", "slots").orderBy(F.xxhash64("k"), "k", "g").limit(max_rows).collect()
-    return fit([np.array(r.slots, np.int32) for r in rows], np.array([r.g for r in rows], np.int64), n_grades=n_grades)
+    rows = with_columns(found, ["t"], [T.StructField("slots", T.BinaryType())], make).select("k", "g", "slots").orderBy(F.xxhash64("k"), "k", "g").limit(max_rows).collect()
+    return fit([np.frombuffer(r.slots, "<i4") for r in rows], np.array([r.g for r in rows], np.int64), n_grades=n_grades)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", select_at: int | None = None, threshold: float = 0.75, expected: str = "expected_grade", tail: str = "tail_prob", kept: str = "kept") -> DataFrame:
