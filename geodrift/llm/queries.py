@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, license_scan, ngram_join, pii, quality_model, quality_rules, sharding, token_counts
+from . import bpe, decontaminate, language_id, license_scan, ngram_join, pii, quality_model, quality_rules, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.build_index(table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), index)
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", F.col("leak.item").alias("item_id"), F.col("leak.edits").alias("edits"), F.col("leak.first_word").alias("first_word"), F.col("leak.n_words").alias("n_words"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
+    "op5_decontamination": op5_decontamination,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_pii": op7_pii,
     "op8_token_counts": op8_token_counts,
