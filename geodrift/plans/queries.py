@@ -88,17 +88,17 @@ def date_range(spark, d):
 
 
 LOS = """enu AS (SELECT CAST(l_suppkey AS VARCHAR) AS station, CAST(l_shipdate AS DATE) AS date, avg(l_quantity) AS east, avg(l_discount) AS north, avg(l_tax) AS up FROM lineitem GROUP BY 1, 2),
-vectors AS (SELECT CAST(s_suppkey AS VARCHAR) AS station, CAST(s_suppkey % 4 AS DOUBLE) / 4 AS e, CAST(s_suppkey % 4 AS DOUBLE) / 8 AS n, CAST(s_suppkey % 4 AS DOUBLE) / 2 AS u FROM supplier)"""
+vectors AS (SELECT CAST(s_suppkey AS VARCHAR) AS station, CAST(s_suppkey % 4 AS DOUBLE) * 0.2041::DOUBLE AS e, CAST(s_suppkey % 4 AS DOUBLE) * 0.1193::DOUBLE AS n, CAST(s_suppkey % 4 AS DOUBLE) * 0.2357::DOUBLE AS u FROM supplier)"""
 
 
 @query("los_projection", f"""WITH {LOS}, moved AS (SELECT station, date, east * e + north * n + up * u AS v, row_number() OVER (PARTITION BY station ORDER BY date) AS k FROM enu JOIN vectors USING (station) WHERE NOT (abs(e) <= 1e-8 AND abs(n) <= 1e-8 AND abs(u) <= 1e-8))
-SELECT station, date, round(v - avg(v) FILTER (WHERE k <= 10) OVER (PARTITION BY station), 3) AS los_gps FROM moved""")
+SELECT station, date, round(v - avg(v) FILTER (WHERE k <= 10) OVER (PARTITION BY station), 6) AS los_gps FROM moved""")
 def los_projection(spark, d):
     lines = A.table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("station"), F.col("l_shipdate").cast("date").alias("date"), "l_quantity", "l_discount", "l_tax")
     enu = lines.groupBy("station", "date").agg(F.avg("l_quantity").alias("east"), F.avg("l_discount").alias("north"), F.avg("l_tax").alias("up"))
     k = F.col("s_suppkey") % 4
-    vectors = A.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("station"), (k / 4.0).alias("e"), (k / 8.0).alias("n"), (k / 2.0).alias("u"))
-    return rounded(series.line_of_sight(enu, vectors), 3, "los_gps")
+    vectors = A.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("station"), (k * 0.2041).alias("e"), (k * 0.1193).alias("n"), (k * 0.2357).alias("u"))
+    return rounded(series.line_of_sight(enu, vectors), 6, "los_gps")
 
 
 @query("gps_insar_left_join", f"""WITH {TIDY}, gps AS (SELECT station, date, avg(value) AS los_gps FROM tidy WHERE measurement = 'los_gps' GROUP BY 1, 2), insar AS (SELECT station, date, avg(value) AS los_insar FROM tidy WHERE measurement = 'los_insar' GROUP BY 1, 2)
