@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,27 +21,65 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Edges that one task may join up (16 bytes each, besides its table of nodes).
+TASK_EDGES = 200_000
+
+
+def _contracted(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, root) after one round, and the edges that are left between roots."""
+    both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    up = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("up")))
+    hop = up.withColumnRenamed("up", "root")
+    while True:  # every jump doubles the way, until all nodes point at the roots of their trees
+        jump = hop.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        hop = settled(hop.join(jump, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        if hop.where("moved").isEmpty():
+            break
+        hop = hop.drop("moved")
+    hop = hop.drop("moved")
+    left = live.join(hop.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(hop.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    return hop, settled(left.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges of one task, by union-find."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    if root:
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b), root the least node of its component.
 
-    Each round points every node at its least neighbour, follows pointers twice,
-    and contracts the edges; they shrink several times per round, so the rounds
-    grow with the logarithm of the longest path.  Loops and repeated edges are
-    allowed; nodes of any orderable type; no edges give no rows.
+    While more than TASK_EDGES distinct edges are left, a round points every node
+    at its least neighbour, follows pointers to their ends and contracts the edges,
+    so nodes at least halve; a task then joins up the bounded rest.  Loops
+    and repeated edges are allowed; nodes of any orderable type; no edges give no
+    rows.
     """
-    spark = edges.sparkSession
+    kind = edges.schema["a"].dataType.simpleString()
     live = settled(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = None
-    while not live.isEmpty():
-        both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("up")))
-        jump = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        twice = up.join(jump, "up").select("node", F.col("next").alias("up"))
-        hop = settled(twice.join(jump, "up").select("node", F.col("next").alias("root")))
-        found = hop if found is None else found.join(hop.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        left = live.join(hop.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(hop.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-        live = settled(left.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    if found is None:
-        kind = edges.schema["a"].dataType.simpleString()
-        return spark.createDataFrame([], f"node {kind}, root {kind}")
-    return settled(found)
+
+    def followed(by: DataFrame) -> DataFrame:
+        if found is None:
+            return by
+        return found.join(by.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+
+    while live.count() > TASK_EDGES:
+        hop, live = _contracted(live)
+        found = followed(hop)
+    return settled(followed(live.repartition(1).mapInArrow(_joined_up, f"node {kind}, root {kind}")))
