@@ -154,12 +154,13 @@ def build_index(items: DataFrame, *, key: str = "item_id", text: str = "text", s
 def candidates(index: Index, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(window start, item number) pairs in which all sampled steps of a table agree; distinct."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    top = (hashes >> np.uint64(48)).astype(np.uint16)
     out = []
     for table in index.tables:
         for depth in np.unique(table.inside):
             items = np.flatnonzero(table.inside == depth)
             wanted, steps = table.sampled[items, :depth], table.steps[:depth]
-            live = at = np.flatnonzero(_member(hashes, wanted[:, 0]))
+            live = at = _members(hashes, top, wanted[:, 0])
             seen = [hashes[live]]
             for k in range(1, depth):
                 stop = first[text[live] + 1]
@@ -193,17 +194,23 @@ def _combine(columns: np.ndarray) -> np.ndarray:
     return total
 
 
-def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Whether each value may be among the others: by 16 bits first, then exactly."""
-    table = np.zeros(1 << 16, bool)
-    table[(among >> np.uint64(48)).astype(np.int64)] = True
-    keep = table[(values >> np.uint64(48)).astype(np.int64)]
-    some = np.flatnonzero(keep)
+def _members(values: np.ndarray, top: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Places of the values that are among the others; ``top`` has their first 16 bits."""
     sorted_ = np.unique(among)
+    table = np.zeros(1 << 16, bool)
+    table[(sorted_ >> np.uint64(48)).astype(np.int64)] = True
+    some = np.flatnonzero(table[top])
     at = np.searchsorted(sorted_, values[some])
     at[at == len(sorted_)] = 0
-    keep[some] = sorted_[at] == values[some]
-    return keep
+    return some[sorted_[at] == values[some]]
+
+
+def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Whether each value is among the others."""
+    sorted_ = np.unique(among)
+    at = np.searchsorted(sorted_, values)
+    at[at == len(sorted_)] = 0
+    return sorted_[at] == values
 
 
 def find_leaks(docs: DataFrame, index: Index, *, text: str = "text", leaks: str = "leaks") -> DataFrame:
@@ -221,6 +228,7 @@ def find_leaks(docs: DataFrame, index: Index, *, text: str = "text", leaks: str
 
     def make():
         index = context.value
+        distinct = [frozenset(w.tolist()) for w in index.words]
 
         def work(column: pa.Array) -> dict[str, object]:
             data, offsets = buffers(column)
@@ -233,9 +241,13 @@ def find_leaks(docs: DataFrame, index: Index, *, text: str = "text", leaks: str
                     words, most = index.words[item], int(index.most[item])
                     best = out[doc].get(item, (most + 1, 0))
                     around = hashes[max(int(first[doc]), place - most) : min(int(first[doc + 1]), place + len(words) + 2 * most)]
-                    if best[0] == 0 or np.count_nonzero(~np.isin(words, around)) > most:
-                        continue  # each word of the item that is not there is an edit
-                    for start in range(max(int(first[doc]), place - most), min(place + most, int(first[doc + 1]) - 1) + 1):
+                    if best[0] == 0 or len(distinct[item].difference(around.tolist())) > most:
+                        continue  # each distinct word of the item that is not there is an edit
+                    lo, hi = max(int(first[doc]), place - most), min(place + most, int(first[doc + 1]) - 1)
+                    for start in sorted(range(lo, hi + 1), key=lambda s: abs(s - place)):
+                        if np.array_equal(hashes[start : start + len(words)], words) and start + len(words) <= first[doc + 1]:
+                            best = (0, start - int(first[doc]))
+                            break
                         edits = edit_distance(words, hashes[start : min(int(first[doc + 1]), start + len(words) + most)], most)
                         if edits <= most:
                             best = min(best, (edits, start - int(first[doc])))
