@@ -54,8 +54,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(docs.select("doc_id", "text"), ranks, pattern).select("doc_id", "token_ids")
-    return bpe.decode(encoded, ranks, pattern).select(
+    return bpe.encode(docs.select("doc_id", "text"), ranks, pattern, decoded="decoded").select(
         "doc_id", bpe.n_ids("token_ids").alias("n_tokens"), "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

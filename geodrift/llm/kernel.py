@@ -9,6 +9,7 @@ from two prefix sums.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Bytes of text handled at once (one longer document still goes whole).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -78,6 +79,14 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES, rows: int = 4096) -> It
         lo = hi
 
 
+def release() -> None:
+    """Gives freed memory back to the system, as workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Prefix:
     """Prefix sums over a byte buffer, giving the hash of any byte range."""
 
@@ -158,5 +167,6 @@ def with_columns(
                     value = made[f.name]
                     arrays.append(value if isinstance(value, pa.Array) else pa.array(value, types[f.name]))
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in passed] + [f.name for f in fields])
+        release()
 
     return kept.mapInArrow(run, T.StructType(passed + fields))

@@ -48,8 +48,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, ranks, pattern).select("doc_id", "token_ids")
-    return bpe.decode(encoded, ranks, pattern).select(
+    return bpe.encode(docs, ranks, pattern, decoded="decoded").select(
         "doc_id", bpe.n_ids("token_ids").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
