@@ -37,9 +37,22 @@ _INSIDE = np.zeros(256, bool)
 _INSIDE[48:58] = _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = True
 
 
-def normal_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, first word of each text): A-Z folded, marks dropped."""
+def lower(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts in lower case by Unicode; texts of ASCII alone take a table."""
     low = LOWER[data]
+    if not len(data) or data.max() < 128:
+        return low, offsets
+    before = np.concatenate([[0], np.cumsum(data >= 128)])
+    wide = (before[offsets[1:]] > before[offsets[:-1]]).tolist()
+    at = offsets.tolist()
+    # bytes that are no UTF-8 stay as they are
+    parts = [bytes(data[a:b]).decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape") if w else bytes(low[a:b]) for a, b, w in zip(at, at[1:], wide)]
+    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+
+
+def normal_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, first word of each text): lower case by Unicode, ASCII marks dropped."""
+    low, offsets = lower(data, offsets)
     starts, ends, first = word_bounds(np.where(_INSIDE[low], low, 0x20).astype(np.uint8), offsets)
     return Prefix(low).hash(starts, ends), first
 

@@ -1,6 +1,7 @@
 """Edit distance against the plain table, recall on planted windows, no false leaks."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -98,3 +99,45 @@ def test_documents(spark):
             if at >= 0:
                 whole.add((r.doc_id, item))
     assert whole and whole <= got and len(got) <= len(whole) + 3
+
+
+def plain_words(text):
+    """Words by Unicode lower case, written without the operator's own code."""
+    return re.findall("[a-z0-9\u0080-\U0010ffff]+", (text or "").lower())
+
+
+def test_capitals_beyond_ascii(spark):
+    items = [
+        (1, "la estaci\u00f3n se\u00f1ala que el ni\u00f1o comi\u00f3 despu\u00e9s del caf\u00e9 aqu\u00ed"),
+        (2, "l'\u00e9t\u00e9 dernier, \u00e0 l'\u00e9cole, les \u00e9l\u00e8ves \u00e9taient tr\u00e8s f\u00e2ch\u00e9s"),
+        (3, "die \u00e4rzte w\u00fcnschen sch\u00f6ne gr\u00fc\u00dfe f\u00fcr \u00fcbermorgen"),
+        (4, "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 \u0438 \u03ba\u03b1\u03bb\u03b7\u03bc\u03ad\u03c1\u03b1 \u03ba\u03cc\u03c3\u03bc\u03bf\u03c2"),
+    ]
+    capitals = {i: "".join(c if c == "\u00df" else c.upper() for c in t) for i, t in items}
+    index = D.build_index(spark.createDataFrame(items, "item_id long, text string"))
+    docs = spark.createDataFrame([(i, f"Before it. {t} AFTER") for i, t in capitals.items()], "doc_id long, text string")
+    got = {(r.doc_id, l.item, l.edits, l.first_word, l.n_words) for r in D.find_leaks(docs, index).collect() for l in r.leaks}
+    assert got == {(i, i, 0, 2, len(plain_words(t))) for i, t in items}
+
+
+def test_normal_words():
+    texts = ["", "Plain ASCII, only", "\u00c9T\u00c9 \u00e9t\u00e9", "\u0130 x \u039f\u0394\u039f\u03a3", "CIÓN-ción", "a"]
+    hashes, first = D.normal_words(*buffers(pa.array(texts)))
+    want = [w for t in texts for w in plain_words(t)]
+    alone = [D.normal_words(*buffers(pa.array([w])))[0][0] for w in want]
+    assert first.tolist() == np.cumsum([0] + [len(plain_words(t)) for t in texts]).tolist() and hashes.tolist() == [int(h) for h in alone]
+    raw = np.frombuffer(b"A\xff\xc9 B", np.uint8)  # no UTF-8
+    assert len(D.normal_words(raw, np.array([0, len(raw)]))[0]) == 2
+
+
+def test_documents_by_plain_words(spark):
+    from geodrift.llm.queries import QUERIES
+
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op5_decontamination"](spark, "/root/testdata/sf0.1").where("edits = 0").collect()}
+    read = spark.read.parquet
+    items = {r.item_id: " " + " ".join(plain_words(r.text)) + " " for r in read("/root/testdata/sf0.1/benchmark.parquet").collect()}
+    whole = set()
+    for r in read("/root/testdata/sf0.1/documents.parquet").collect():
+        words = " " + " ".join(plain_words(r.text)) + " "
+        whole |= {(r.doc_id, i) for i, own in items.items() if len(own) > 2 and own in words}
+    assert whole == got
