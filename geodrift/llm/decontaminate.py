@@ -1,21 +1,16 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, edit verification.
-
-Texts are sequences of normalised words.  A CGK walk reads a sequence from a
-position: at step j it writes the current word and moves on if bit j of the
-word's random bits is set, so sequences at a small edit distance give walks at a
-small Hamming distance.  Each table of the LSH samples some steps of its own
-walk; a window that starts at any word of a document is a candidate for an item
-if all sampled steps agree in one table.  Walks are followed only as long as the
-steps sampled so far agree with some item.  Tables are added until the chance to
-find a window at the largest allowed distance reaches the target recall.  The
-best edit distance of each candidate item to the text at that place is computed
-exactly.
+"""Benchmark decontamination: blocks of the items looked up exactly, edit verification around each.
+
+Texts are sequences of normalised words.  An item of which k words may be edited
+is cut into k + 1 blocks; k edits leave one block whole, so a text within k edits
+holds a block word by word, at its place in the item give or take k.  All blocks
+are looked up at every word of a document, so no place is missed, wherever the
+edits are.  The least edit distance of each item to the text around the places
+found is then computed exactly.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,13 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import LOWER, Prefix, buffers, mix, slices, with_columns, word_bounds
+from .kernel import LOWER, Prefix, buffers, mix, with_columns, word_bounds
 
 #: Items that an index may hold; it is broadcast, so its size is bounded by this and ITEM_WORDS.
 MAX_ITEMS = 200_000
 ITEM_WORDS = 4096
-#: Steps of a walk that may be sampled, and how many each table samples; the first step is always one.
-STEPS, SAMPLED = 16, 3
+#: Words of a block that are looked up; a part of a whole block is whole.
+BLOCK_WORDS = 16
+#: Leading bits of a hash by which most places are ruled out.
+FILTER_BITS = 20
+#: Code of one edit in the tables of best_place; below it is the place.
+EDIT = np.int64(1 << 32)
 
 #: Bytes that belong to a word: ASCII letters and digits and all of non-ASCII; other bytes separate.
 _INSIDE = np.zeros(256, bool)
@@ -57,88 +56,98 @@ def normal_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return Prefix(low).hash(starts, ends), first
 
 
-def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> int:
-    """Least edits (insert, drop, replace a word) from ``item`` to a prefix of ``text``; most + 1 if above ``most``.
+def best_place(item: np.ndarray, text: np.ndarray, last: int, most: int) -> tuple[int, int]:
+    """(edits, start): least edits (insert, drop, replace a word) from ``item`` to words of ``text`` from a start of 0 to ``last``.
 
-    One row per item word over the 2 * most + 1 diagonals that can matter.
+    Of equal edits the least start; (most + 1, 0) if above ``most``.  One row
+    per item word over the diagonals that can matter; a cell is edits * EDIT + start.
     """
-    width = 2 * most + 1
-    far = most + 1
-    place = np.arange(width) - most
-    row = np.where(place >= 0, place, far)
-    row[place > len(text)] = far
-    steps = np.arange(width)
+    far = (most + 1) * EDIT
+    place = np.arange(-most, last + most + 1)
+    row = np.where((place >= 0) & (place <= min(last, len(text))), place, far).astype(np.int64)
+    steps = np.arange(len(place)) * EDIT
+    row = np.minimum(np.minimum.accumulate(row - steps) + steps, far)
     for i in range(1, len(item) + 1):
         at = i + place  # columns of the table
-        real = (at >= 1) & (at <= len(text))
-        same = np.zeros(width, bool)
-        same[real] = text[at[real] - 1] == item[i - 1]
-        take = np.where(real, row + ~same, far)
-        take[at == 0] = far
-        drop = np.append(row[1:], far) + 1
-        new = np.minimum(take, drop)
-        new[at == 0] = i
-        new[(at < 0) | (at > len(text))] = far
+        lo, hi = np.searchsorted(at, [1, len(text) + 1])
+        new = np.full(len(at), far)
+        new[lo:hi] = row[lo:hi] + np.where(text[at[lo:hi] - 1] == item[i - 1], np.int64(0), EDIT)
+        lo = max(lo - 1, 0)  # column 0 too
+        new[lo:hi] = np.minimum(new[lo:hi], np.append(row[1:], far)[lo:hi] + EDIT)
         new = np.minimum.accumulate(new - steps) + steps  # insertions along the row
+        new[hi:] = far
         row = np.minimum(new, far)
-        if row.min() > most:
-            return far
-    return int(row.min())
+        if row.min() >= far:
+            return most + 1, 0
+    edits, start = divmod(int(row.min()), int(EDIT))
+    return (edits, start) if edits <= most else (most + 1, 0)
+
+
+def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> int:
+    """Least edits from ``item`` to a prefix of ``text``; most + 1 if above ``most``."""
+    return best_place(item, text, 0, most)[0]
 
 
 @dataclass
-class LshTable:
-    """One table: a walk's seed, its sampled steps, and of each item the word it starts at and the words sampled."""
+class Blocks:
+    """All blocks of one width, by hash: the item each is of and the word it starts at."""
 
-    seed: int
-    steps: np.ndarray
-    shifts: np.ndarray
-    sampled: np.ndarray
-    #: Sampled steps that lie inside the item; a short item is looked up by these alone.
-    inside: np.ndarray
+    hashes: np.ndarray
+    items: np.ndarray
+    offsets: np.ndarray
+    #: Whether a block begins with these FILTER_BITS bits.
+    leading: np.ndarray
 
 
 @dataclass
 class Index:
-    """Items' ids, words and allowed edits, and the tables."""
+    """Items' ids, words and allowed edits, and the blocks by width."""
 
     ids: list
     words: list[np.ndarray]
     most: np.ndarray
-    tables: list[LshTable]
-
-
-def walk(words: np.ndarray, seed: int, steps: np.ndarray) -> np.ndarray:
-    """Words at the given steps of the walk from the first word; fewer if it leaves the sequence."""
-    at, out = 0, []
-    for step in range(int(steps[-1]) + 1):
-        if at >= len(words):
-            break
-        if step in steps:
-            out.append(words[at])
-        at += int((mix(words[at : at + 1] ^ np.uint64(seed))[0] >> np.uint64(step)) & np.uint64(1))
-    return np.array(out, np.uint64)
-
-
-def tables_for(recall: float, share: float) -> int:
-    """Tables that find a window with ``share`` of its words edited, with probability ``recall``.
-
-    A walk goes on unchanged up to its first edited word; an edit before the
-    last sampled word spoils a table unless the walks meet again, which is not
-    counted.  Tables start their walks at different words of the window, and
-    edits are taken as spread evenly; a test measures the recall.
-    """
-    one = (1 - share) ** (0.5 * STEPS + 1)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - one)))
-
-
-def build_index(items: DataFrame, *, key: str = "item_id", text: str = "text", share: float = 0.1, recall: float = 0.98, seed: int = 7) -> Index:
+    blocks: dict[int, Blocks]
+
+
+def _rolled(hashes: np.ndarray, widths: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, hash of the words from each word on) for each width in rising order, built up word by word."""
+    total, have = np.zeros(len(hashes), np.uint64), 0
+    for width in sorted(widths):
+        for have in range(have, min(width, len(hashes))):
+            total = total[: len(hashes) - have] * np.uint64(0xD6E8FEB86659FD93) + hashes[have:]
+        have = width
+        if width > len(hashes):
+            return
+        yield width, mix(total)
+
+
+def _blocks(words: list[np.ndarray], most: np.ndarray) -> dict[int, Blocks]:
+    found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for i, w in enumerate(words):
+        pieces = int(most[i]) + 1
+        width = min(len(w) // pieces, BLOCK_WORDS)
+        offsets = np.arange(pieces) * len(w) // pieces
+        ((_, own),) = _rolled(w, [width])
+        found.setdefault(width, []).append((own[offsets], np.full(pieces, i), offsets))
+    out = {}
+    for width, parts in found.items():
+        hashes, items, offsets = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        order = np.argsort(hashes, kind="stable")
+        leading = np.zeros(1 << FILTER_BITS, bool)
+        leading[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        out[width] = Blocks(hashes[order], items[order], offsets[order], leading)
+    return out
+
+
+def build_index(items: DataFrame, *, key: str = "item_id", text: str = "text", share: float = 0.1) -> Index:
     """Index of the benchmark items, held by the driver and broadcast.
 
     At most MAX_ITEMS items are accepted; more raise an error, since an index
     must hold all.  Items with a null text or without a word match nothing and
     are left out; of repeated rows one is kept.
     """
+    if not 0 <= share < 1:
+        raise ValueError("share must be at least 0 and below 1")
     rows = items.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL").distinct().orderBy("k", "t").limit(MAX_ITEMS + 1).collect()
     if len(rows) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} items: split the benchmark and scan once per part")
@@ -150,88 +159,52 @@ def build_index(items: DataFrame, *, key: str = "item_id", text: str = "text", s
             ids.append(r.k)
             words.append(own)
     most = np.array([int(share * len(w)) for w in words], np.int64)
-    rng, tables = np.random.default_rng(seed), []
-    for number in range(tables_for(recall, share)):
-        salt = int(rng.integers(1, 2**62))
-        steps = np.concatenate([[0], 1 + np.sort(rng.choice(STEPS - 1, SAMPLED - 1, replace=False))])
-        # each table walks from another word of the items, so that an edit at one place cannot spoil all
-        shifts = np.array([min(number * STEPS // 2, max(0, len(w) - STEPS // 2 - 1)) if number % 2 or len(w) < STEPS else (number * STEPS // 2) % (len(w) - STEPS // 2) for w in words], np.int64)
-        sampled, inside = np.zeros((len(words), SAMPLED), np.uint64), np.zeros(len(words), np.int64)
-        for i, w in enumerate(words):
-            own = walk(w[shifts[i] :], salt, steps)
-            sampled[i, : len(own)], inside[i] = own, len(own)
-        tables.append(LshTable(salt, steps, shifts, sampled, inside))
-    return Index(ids, words, most, tables)
-
-
-def candidates(index: Index, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window start, item number) pairs in which all sampled steps of a table agree; distinct."""
+    return Index(ids, words, most, _blocks(words, most))
+
+
+def candidates(index: Index, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Distinct rows (text, item, place) where a block of the item is found; place is the item's first word, from the text's."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    top = (hashes >> np.uint64(48)).astype(np.uint16)
-    out = []
-    for table in index.tables:
-        for depth in np.unique(table.inside):
-            items = np.flatnonzero(table.inside == depth)
-            wanted, steps = table.sampled[items, :depth], table.steps[:depth]
-            live = at = _members(hashes, top, wanted[:, 0])
-            seen = [hashes[live]]
-            for k in range(1, depth):
-                stop = first[text[live] + 1]
-                for j in range(int(steps[k - 1]), int(steps[k])):
-                    step = (mix(hashes[np.minimum(at, len(hashes) - 1)] ^ np.uint64(table.seed)) >> np.uint64(j)) & np.uint64(1)
-                    at = np.minimum(at + step.astype(np.int64), stop)
-                here = hashes[np.minimum(at, len(hashes) - 1)]
-                keep = (at < stop) & _member(here, wanted[:, k])
-                at, live = at[keep], live[keep]
-                seen = [x[keep] for x in seen] + [here[keep]]
-            if not len(live):
-                continue
-            code, item_code = _combine(np.stack(seen, 1)), _combine(wanted)
-            order = np.argsort(item_code, kind="stable")
-            lo, hi = np.searchsorted(item_code[order], code, "left"), np.searchsorted(item_code[order], code, "right")
-            counts = hi - lo
-            row = np.repeat(np.arange(len(live)), counts)
-            item = items[order[np.repeat(lo - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())]]
-            start = np.maximum(live[row] - table.shifts[item], first[text[live[row]]])
-            out.append(np.stack([start, item], 1))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def _combine(columns: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(columns), np.uint64)
-    for k in range(columns.shape[1]):
-        total = mix(total * np.uint64(0xD6E8FEB86659FD93) + columns[:, k])
-    return total
-
-
-def _members(values: np.ndarray, top: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Places of the values that are among the others; ``top`` has their first 16 bits."""
-    sorted_ = np.unique(among)
-    table = np.zeros(1 << 16, bool)
-    table[(sorted_ >> np.uint64(48)).astype(np.int64)] = True
-    some = np.flatnonzero(table[top])
-    at = np.searchsorted(sorted_, values[some])
-    at[at == len(sorted_)] = 0
-    return some[sorted_[at] == values[some]]
-
-
-def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Whether each value is among the others."""
-    sorted_ = np.unique(among)
-    at = np.searchsorted(sorted_, values)
-    at[at == len(sorted_)] = 0
-    return sorted_[at] == values
+    out = [np.zeros((0, 3), np.int64)]
+    for width, own in _rolled(hashes, index.blocks):
+        blocks = index.blocks[width]
+        at = np.flatnonzero(blocks.leading[(own >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+        at = at[at + width <= first[text[at] + 1]]
+        lo, hi = np.searchsorted(blocks.hashes, own[at], "left"), np.searchsorted(blocks.hashes, own[at], "right")
+        counts = hi - lo
+        row = np.repeat(at, counts)
+        block = np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        out.append(np.stack([text[row], blocks.items[block], row - first[text[row]] - blocks.offsets[block]], 1))
+    found = np.concatenate(out)
+    found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+    return found[np.concatenate([[True], (found[1:] != found[:-1]).any(1)])] if len(found) else found
+
+
+def _best(words: np.ndarray, distinct: frozenset, text: np.ndarray, places: np.ndarray, most: int) -> tuple[int, int]:
+    """(edits, first word) of the best place of the item near the places (rising); (most + 1, 0) if none is near enough."""
+    for place in places.tolist():
+        if 0 <= place and np.array_equal(text[place : place + len(words)], words):
+            return 0, place
+    best = (most + 1, 0)
+    if not most:
+        return best
+    # places whose starts overlap are tried together
+    for near in np.split(places, np.flatnonzero(np.diff(places) > 2 * most) + 1):
+        lo, hi = max(0, int(near[0]) - most), int(near[-1]) + most
+        around = text[lo : hi + len(words) + most]
+        if len(distinct.difference(around.tolist())) > most:
+            continue  # each distinct word of the item that is not there is an edit
+        edits, start = best_place(words, around, hi - lo, most)
+        if edits <= most:
+            best = min(best, (edits, lo + start))
+    return best
 
 
 def find_leaks(docs: DataFrame, index: Index, *, text: str = "text", leaks: str = "leaks") -> DataFrame:
     """``docs`` plus ``leaks``: [(item, edits, first_word, n_words)], by item number then place.
 
     An item leaks if a place of the text is within ``share`` of its words in edit
-    distance; the best place of each item is given.  A shift of a window by
-    edits before the walk's start is covered by trying the starts around it.
+    distance; of each item the place with least edits is given, the first of equals.
     Null, empty and shorter texts give an empty array; rows do not depend on each
     other; a column with the name of ``leaks`` is replaced; items with equal
     words are all given.
@@ -248,24 +221,12 @@ def find_leaks(docs: DataFrame, index: Index, *, text: str = "text", leaks: str
             hashes, first = normal_words(data, offsets)
             out: list[dict[int, tuple[int, int]]] = [{} for _ in range(len(offsets) - 1)]
             if index.ids and len(hashes):
-                places, items = candidates(index, hashes, first)
-                docs_of = np.searchsorted(first, places, "right") - 1
-                for place, item, doc in zip(places.tolist(), items.tolist(), docs_of.tolist()):
-                    words, most = index.words[item], int(index.most[item])
-                    best = out[doc].get(item, (most + 1, 0))
-                    around = hashes[max(int(first[doc]), place - most) : min(int(first[doc + 1]), place + len(words) + 2 * most)]
-                    if best[0] == 0 or len(distinct[item].difference(around.tolist())) > most:
-                        continue  # each distinct word of the item that is not there is an edit
-                    lo, hi = max(int(first[doc]), place - most), min(place + most, int(first[doc + 1]) - 1)
-                    for start in sorted(range(lo, hi + 1), key=lambda s: abs(s - place)):
-                        if np.array_equal(hashes[start : start + len(words)], words) and start + len(words) <= first[doc + 1]:
-                            best = (0, start - int(first[doc]))
-                            break
-                        edits = edit_distance(words, hashes[start : min(int(first[doc + 1]), start + len(words) + most)], most)
-                        if edits <= most:
-                            best = min(best, (edits, start - int(first[doc])))
-                            if edits == 0:
-                                break
+                found = candidates(index, hashes, first)
+                cuts = np.flatnonzero((found[1:, :2] != found[:-1, :2]).any(1)) + 1
+                for rows in np.split(found, cuts) if len(found) else []:
+                    doc, item = rows[0, :2].tolist()
+                    most = int(index.most[item])
+                    best = _best(index.words[item], distinct[item], hashes[first[doc] : first[doc + 1]], rows[:, 2], most)
                     if best[0] <= most:
                         out[doc][item] = best
             return {leaks: [[{"item": int(index.ids[i]), "edits": e, "first_word": a, "n_words": len(index.words[i])} for i, (e, a) in sorted(own.items())] for own in out]}

@@ -141,3 +141,45 @@ def test_documents_by_plain_words(spark):
         words = " " + " ".join(plain_words(r.text)) + " "
         whole |= {(r.doc_id, i) for i, own in items.items() if len(own) > 2 and own in words}
     assert whole == got
+
+
+def test_recall_wherever_edits_are(spark):
+    r = random.Random(11)
+    items = [(i, [f"w{r.randrange(3000)}" for _ in range(n)]) for i, n in enumerate([*range(10, 20), 25, 40, 99, 200, 400, 700])]
+    index = D.build_index(spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    rows, want = [], {}
+    for i, w in items:
+        most = len(w) // 10
+        tries = [("head cut", w[most:]), ("tail cut", w[:-most]), ("head replaced", [f"x{k}" for k in range(most)] + w[most:]), ("whole", w)]
+        for start in {1, 2, len(w) // 2, len(w) - most - 1}:
+            tries.append(("cluster", w[:start] + [f"x{k}" for k in range(most)] + w[start + most :]))
+            tries.append(("inserted", w[:start] + [f"x{k}" for k in range(most)] + w[start:]))
+        for _ in range(10):
+            tries.append(("spread", edited(r, w, most)))
+        for _, copy in tries:
+            text = [f"y{k}" for k in range(r.randrange(5))] + copy + [f"z{k}" for k in range(r.randrange(5))]
+            exact = [plain(w, text[s : s + len(w) + most]) for s in range(max(1, len(text) - len(w) + most + 1))] if len(w) < 100 else None
+            want[len(rows)] = (i, most if exact is None else min(exact), None if exact is None else exact.index(min(exact)))
+            rows.append((len(rows), " ".join(text)))
+        past = w[: len(w) // 2] + [f"x{k}" for k in range(most + 1)] + w[len(w) // 2 + most + 1 :]
+        rows.append((len(rows), " ".join(past)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: [(l.item, l.edits, l.first_word) for l in x.leaks] for x in D.find_leaks(docs, index).collect()}
+    for doc, _ in rows:
+        if doc not in want:
+            assert got[doc] == [], doc
+            continue
+        item, edits, first = want[doc]
+        ((i, e, f),) = got[doc]
+        assert i == item and (e <= edits if first is None else (e, f) == (edits, first)), (doc, got[doc], want[doc])
+
+
+def test_best_place():
+    r = random.Random(5)
+    for _ in range(500):
+        item = [r.randrange(4) for _ in range(r.randint(1, 12))]
+        text = [r.randrange(4) for _ in range(r.randint(0, 25))]
+        most, last = r.randint(0, 6), r.randint(0, 12)
+        want = min((plain(item, text[s:]), s) for s in range(min(last, len(text)) + 1))
+        got = D.best_place(np.array(item, np.uint64), np.array(text, np.uint64), last, most)
+        assert got == (want if want[0] <= most else (most + 1, 0)), (item, text, last, most)
