@@ -21,9 +21,8 @@ from pyspark.sql import types as T
 
 from .kernel import LOWER, Prefix, buffers, mix, with_columns, word_bounds
 
-#: Items that an index may hold; it is broadcast, so its size is bounded by this and ITEM_WORDS.
+#: Items that an index may hold; it is broadcast, with all words of each.
 MAX_ITEMS = 200_000
-ITEM_WORDS = 4096
 #: Words of a block that are looked up; a part of a whole block is whole.
 BLOCK_WORDS = 16
 #: Leading bits of a hash by which most places are ruled out.
@@ -143,7 +142,7 @@ def build_index(items: DataFrame, *, key: str = "item_id", text: str = "text", s
     """Index of the benchmark items, held by the driver and broadcast.
 
     At most MAX_ITEMS items are accepted; more raise an error, since an index
-    must hold all.  Items with a null text or without a word match nothing and
+    must hold all; each is held whole, however long.  Items with a null text or without a word match nothing and
     are left out; of repeated rows one is kept.
     """
     if not 0 <= share < 1:
@@ -154,7 +153,7 @@ def build_index(items: DataFrame, *, key: str = "item_id", text: str = "text", s
     ids, words = [], []
     for r in rows:
         data, offsets = buffers(pa.array([r.t]))
-        own = normal_words(data, offsets)[0][:ITEM_WORDS]
+        own = normal_words(data, offsets)[0]
         if len(own):
             ids.append(r.k)
             words.append(own)

@@ -183,3 +183,13 @@ def test_best_place():
         want = min((plain(item, text[s:]), s) for s in range(min(last, len(text)) + 1))
         got = D.best_place(np.array(item, np.uint64), np.array(text, np.uint64), last, most)
         assert got == (want if want[0] <= most else (most + 1, 0)), (item, text, last, most)
+
+
+def test_long_items_are_whole(spark):
+    r = random.Random(9)
+    w = [f"w{r.randrange(9000)}" for _ in range(5000)]
+    index = D.build_index(spark.createDataFrame([(1, " ".join(w))], "item_id long, text string"))
+    texts = [w[:4096], w[:4600], w[:4400], w[:4096] + ["x"] * 300 + w[4396:], w]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: [tuple(l) for l in x.leaks] for x in D.find_leaks(docs, index).collect()}
+    assert got == {0: [], 1: [(1, 400, 0, 5000)], 2: [], 3: [(1, 300, 0, 5000)], 4: [(1, 0, 0, 5000)]}
