@@ -13,6 +13,12 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Parts of the GPL's notice; what follows the terms, after a comma or as a clause of its own, gives the version.
+GPL_TERMS = "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+GPL_STARTS = ("", "This program is free software: ")
+GPL_LATER = ("(at your option) any later version", "at your option any later version", "any later version")
+GPL_VERSIONS = {n: [f"version {n} of the License", f"version {n}", f"version {n} of the GNU General Public License"] for n in (2, 3)}
+
 #: Known sentences (or clauses between full stops) by identifier, as licences print them.
 SENTENCES = {
     "mit-name": ["The MIT License", "MIT License", "The MIT License (MIT)", "Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "Distributed under the MIT License"],
@@ -25,8 +31,16 @@ SENTENCES = {
     "apache-as-is": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
     "gpl3-name": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Released under the GNU General Public License, version 3", "GNU General Public License version 3", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
     "gpl2-name": ["This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
-    "gpl-grant3": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "gpl-grant2": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
+    "gpl-free": ["This program is free software"],
+    "gpl-terms": [GPL_TERMS],
+    "gpl3-later": [f"either {v}, or {or_later}" for v in GPL_VERSIONS[3] for or_later in GPL_LATER],
+    "gpl2-later": [f"either {v}, or {or_later}" for v in GPL_VERSIONS[2] for or_later in GPL_LATER],
+    "gpl3-version": GPL_VERSIONS[3],
+    "gpl2-version": GPL_VERSIONS[2],
+    "gpl-grant3": [f"{start}{GPL_TERMS}, either {v}, or {or_later}" for start in GPL_STARTS for v in GPL_VERSIONS[3] for or_later in GPL_LATER],
+    "gpl-grant2": [f"{start}{GPL_TERMS}, either {v}, or {or_later}" for start in GPL_STARTS for v in GPL_VERSIONS[2] for or_later in GPL_LATER],
+    "gpl-only3": [f"{start}{GPL_TERMS}, {v}" for start in GPL_STARTS for v in GPL_VERSIONS[3]],
+    "gpl-only2": [f"{start}{GPL_TERMS}, {v}" for start in GPL_STARTS for v in GPL_VERSIONS[2]],
     "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
     "bsd-grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
@@ -41,8 +55,12 @@ SENTENCES = {
     "unlicense": ["This is free and unencumbered software released into the public domain"],
 }
 
+#: Clauses that say nothing without the terms before them.
+VERSION_CLAUSES = ("gpl2-later", "gpl3-later", "gpl2-version", "gpl3-version")
+
 #: Ordered rules, first match wins for the sentences it covers.  A rule is a
-#: licence and a sequence of identifiers that must follow each other, other sentences between allowed.
+#: licence and a sequence of identifiers that must follow each other, other sentences between allowed
+#: except where a plus joins two.
 RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
@@ -53,6 +71,12 @@ RULES = [
     ("Apache-2.0", ["apache-use", "apache-as-is"]),
     ("GPL-3.0-or-later", ["gpl-grant3"]),
     ("GPL-2.0-or-later", ["gpl-grant2"]),
+    ("GPL-3.0-or-later", ["gpl-terms+gpl3-later"]),
+    ("GPL-2.0-or-later", ["gpl-terms+gpl2-later"]),
+    ("GPL-3.0-only", ["gpl-only3"]),
+    ("GPL-2.0-only", ["gpl-only2"]),
+    ("GPL-3.0-only", ["gpl-terms+gpl3-version"]),
+    ("GPL-2.0-only", ["gpl-terms+gpl2-version"]),
     ("GPL-3.0-only", ["gpl3-name"]),
     ("GPL-2.0-only", ["gpl2-name"]),
     ("MPL-2.0", ["mpl2-name"]),
@@ -64,9 +88,9 @@ RULES = [
 ]
 
 #: Every known sentence holds one of these in lower case (checked by a test), so other texts need no look-up.
-HINTS = ("licen", "permission", "redistribut", "software", "public domain", "names of its contributors", "creative commons", "cc by", "cc0", "mozilla public", "warranty")
-#: A sentence ends at a mark before white space or the end.
-ENDS = r"[.!?;:]+(?=\s|$)"
+HINTS = ("licen", "permission", "redistribut", "software", "public domain", "names of its contributors", "creative commons", "cc by", "cc0", "mozilla public", "warranty", "any later version", "version 2", "version 3")
+#: A sentence ends at a mark before white space or the end, but not after "v." before a number, and at a line without letters and digits.
+ENDS = r"(?!(?<=\b[Vv])\.\s+[0-9])[.!?;:]+(?=\s|$)|\n[^A-Za-z0-9\n]*\n"
 
 
 def normal(text: str) -> str:
@@ -75,23 +99,29 @@ def normal(text: str) -> str:
 
 
 def known_sentences() -> dict[str, str]:
-    """Normal form of every sentence to its identifier; a form that ENDS would cut counts by its longest part."""
-    found = {}
+    """Normal form of every sentence to its identifier.
+
+    Of a form that ENDS would cut, a part counts only if it is the longest and
+    no sentence of its own, so no part stands for a version that it lacks.
+    """
+    found = {normal(form): name for name, forms in SENTENCES.items() for form in forms}
     for name, forms in SENTENCES.items():
         for form in forms:
-            found[normal(form)] = name
-            found[normal(max(re.split(ENDS, form), key=len))] = name
+            found.setdefault(normal(max(re.split(ENDS, form), key=len)), name)
     return found
 
 
 def rule_patterns(rules: list[tuple[str, list[str]]]) -> list[tuple[str, str]]:
-    return [(licence, "(?<= )" + r"(?: +\S+)*? +".join(map(re.escape, names)) + "(?= )") for licence, names in rules]
+    return [(licence, "(?<= )" + r"(?: +\S+)*? +".join(" +".join(map(re.escape, name.split("+"))) for name in names) + "(?= )") for licence, names in rules]
 
 
 def _ids(units: Column, known: Column) -> Column:
-    """Identifiers of the units that are known sentences, in order."""
+    """Identifiers of the units that are known sentences, in order; a version counts only after the terms."""
     normals = F.transform(units, lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(normals, lambda x: F.element_at(known, x)), lambda x: x.isNotNull())
+    found = F.filter(F.transform(normals, lambda x: F.element_at(known, x)), lambda x: x.isNotNull())
+    none = F.array().cast("array<string>")
+    alone = lambda ids, x: x.isin(*VERSION_CLAUSES) & ~F.coalesce(F.get(ids, F.size(ids) - 1) == "gpl-terms", F.lit(False))
+    return F.aggregate(found, none, lambda ids, x: F.when(alone(ids, x), ids).otherwise(F.array_append(ids, x)))
 
 
 def _match(ids: Column, rules: Column) -> Column:
@@ -111,8 +141,8 @@ def _match(ids: Column, rules: Column) -> Column:
 def scan(docs: DataFrame, *, text: str = "text", licenses: str = "licenses", sentences: str = "license_sentences") -> DataFrame:
     """``docs`` plus the sorted licences found and the identifiers of the known sentences in order.
 
-    Sentences are taken twice, cut at ENDS with line feeds as spaces (a sentence
-    may run over lines) and as whole lines (a title has no mark); a licence
+    Sentences are taken twice, cut at ENDS with other line feeds as spaces (a
+    sentence may run over lines, but not over a blank one) and as whole lines (a title has no mark); a licence
     counts if its rule matches either sequence, and the longer one is returned.
     Null, empty and other texts give empty arrays.  Rows do not depend on each
     other; no shuffle; columns of docs with a new one's name are replaced.

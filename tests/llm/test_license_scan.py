@@ -43,3 +43,43 @@ def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = L.scan(docs).collect()
     assert [r.licenses for r in rows] == [brute(r.text) for r in rows] and sum(bool(r.licenses) for r in rows) > 5
+
+
+def test_versions_and_blank_lines(spark):
+    start = "it under the terms of the GNU General Public License as\npublished by the Free Software Foundation"
+    program, other = f"This program is free software; you can redistribute it and/or modify\n{start}", f"Foo is free software: you can redistribute it and/or modify\n{start}"
+    grant = "\n".join(re.findall(r".{1,60}(?:\s|$)", L.SENTENCES["mit-grant"][0])) + "\n\n" + L.SENTENCES["mit-notice"][0] + ".\n"
+    commented = "".join(f" * {x}\n" for x in f"Copyright 2024 A B\n\n{L.SENTENCES['isc-grant'][0]}.".split("\n"))
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. {}. If a copy of the MPL was not distributed, get one."
+    texts = {
+        f"{program}; either version 3 of the License, or\n(at your option) any later version.": ["GPL-3.0-or-later"],
+        f"{program}; either version 2 of the License, or\n(at your option) any later version.": ["GPL-2.0-or-later"],
+        f"{program}, either version 2 of the License, or\n(at your option) any later version.": ["GPL-2.0-or-later"],
+        f"{other}, either version 3 of the License, or\n(at your option) any later version.": ["GPL-3.0-or-later"],
+        f"{other}; either version 2, or (at your option)\nany later version.": ["GPL-2.0-or-later"],
+        f"{program}; version 2 of the License.": ["GPL-2.0-only"],
+        f"{program}; version 3 of the License.": ["GPL-3.0-only"],
+        f"{other}, version 2.": ["GPL-2.0-only"],
+        f"{program}; version 2 of the License.\n\n{program}; either version 3 of the License, or (at your option) any later version.": ["GPL-2.0-only", "GPL-3.0-or-later"],
+        f"{program}.\n\nSome software, version 3.": [],
+        f"{program}.\n\nNews.": [],
+        f"Copyright (c) 2024 A B\n\n{grant}": ["MIT"],
+        f"Copyright (c) 2024 A B\r\n \r\n{grant}": ["MIT"],
+        commented: ["ISC"],
+        mpl.format("2.0"): ["MPL-2.0"],
+        mpl.format("1.1"): [],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.text: r.licenses for r in L.scan(docs).collect()} == texts
+    assert all(brute(t) == want for t, want in texts.items())
+    alone = spark.createDataFrame([(1, "Software news.\nVersion 2.\nVersion 3.")], "doc_id long, text string")
+    assert L.scan(alone).first().license_sentences == []
+
+
+def test_no_part_stands_for_a_version():
+    known = L.known_sentences()
+    for rule in L.RULES:
+        numbers = re.findall("[23]", rule[0]) if rule[0].startswith(("GPL", "MPL")) else []
+        for form, name in known.items():
+            if numbers and [name] == rule[1]:
+                assert numbers[0] in form, (rule, form)
