@@ -226,6 +226,12 @@ def robust_fit(spark, d):
     return rounded(robust.robust_lines(monthly).select("station", "objective"), 6, "objective")
 
 
+@query("robust_fit_daily")
+def robust_fit_daily(spark, d):
+    """The lines of the whole daily series, for which SQL over point pairs would be cubic; tests hold them against brute force."""
+    return robust.robust_lines(A.dense(spark, d))
+
+
 @query("station_rates")
 def station_rates(spark, d):
     return rates.calculate_rates(A.tidy_rows(spark, d))

@@ -115,3 +115,47 @@ def test_geodesy():
     x, y = utm_xy(np.array([3.0, 2.2945]), np.array([0.0, 48.8582]), 31)
     assert (x[0], y[0]) == pytest.approx((500000, 0), abs=1e-6) and (x[1], y[1]) == pytest.approx((448251.8, 5411932.68), abs=0.2)
     assert mercator_xy(np.array([180.0]), np.array([0.0]))[0][0] == pytest.approx(20037508.342789, abs=1e-5)
+
+
+def brute_sum(x, y):
+    """Least sum over all lines through two points."""
+    i, j = np.triu_indices(len(x), 1)
+    i, j = i[x[i] != x[j]], j[x[i] != x[j]]
+    slope = (y[j] - y[i]) / (x[j] - x[i])
+    return np.abs(y - slope[:, None] * x - (y[i] - slope * x[i])[:, None]).sum(1).min()
+
+
+def test_robust_lines_of_daily_fixture(spark):
+    import datetime
+
+    from geodrift.operators.robust import robust_lines
+
+    r, rows, want = np.random.default_rng(8), [], {}
+    for k in range(6):
+        days = np.sort(r.choice(400, 70, replace=False))
+        y = np.round(0.01 * days * k + r.standard_t(2, 70), r.integers(0, 6))
+        rows += [(f"s{k}", datetime.date(2001, 1, 1) + datetime.timedelta(int(d)), float(v)) for d, v in zip(days, y)]
+        want[f"s{k}"] = brute_sum((days - days[0]) / 365.25, y)
+    got = {x.station: x for x in robust_lines(spark.createDataFrame(rows, "station string, date date, value double")).collect()}
+    assert {s: x.objective for s, x in got.items()} == pytest.approx(want, rel=1e-9) and all(x.n == 70 for x in got.values())
+
+
+def test_robust_fit_runs_over_whole_daily_series(spark):
+    from geodrift.plans import adapters
+    from geodrift.plans.queries import QUERIES
+
+    d, series = "/root/testdata/sf0.001", {}
+    for x in adapters.dense(spark, d).collect():
+        series.setdefault(x.station, []).append((x.date, x.value))
+    got = {x.station: x for x in QUERIES["robust_fit_daily"](spark, d).collect()}
+    assert got.keys() == series.keys()
+    for station, points in series.items():
+        line, points = got[station], sorted(points)
+        x, y = np.array([(p[0] - points[0][0]).days / 365.25 for p in points]), np.array([float(p[1]) for p in points])
+
+        def total(slope):
+            return np.abs(y - slope * x - np.median(y - slope * x)).sum()
+
+        assert line.n == len(points) and line.objective == pytest.approx(np.abs(y - line.slope * x - line.intercept).sum(), rel=1e-12)
+        # the sum is convex in the slope, so a least one nearby is the least
+        assert all(line.objective <= total(line.slope + s * e) + 1e-9 for e in (1e-6, 1e-4, 1e-2, 1.0) for s in (-1, 1))
