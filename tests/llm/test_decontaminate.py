@@ -66,14 +66,14 @@ def test_recall_and_precision(spark):
     true, texts = {}, dict(rows)
     for i, text in rows:
         words = text.lower().replace("!!", "").split()
-        for item, t in items[4:]:
+        for item, t in items[3:]:
             own = t.split()
             most = len(own) // 10
             if (i, item) in planted or (i, item) in got:
                 best = min(plain(own, words[s : s + len(own) + most]) for s in range(len(words)))
                 if best <= most:
                     true[i, item] = best
-    long = {k: v for k, v in got.items() if k[1] >= 4}
+    long = {k: v for k, v in got.items() if k[1] >= 3}
     assert all(true.get(k) == v for k, v in long.items()) and len(texts) == 600
     missed = set(true) - set(long)
     assert len(missed) <= 0.03 * len(true), (len(missed), len(true))
@@ -144,34 +144,41 @@ def test_documents_by_plain_words(spark):
 
 
 def test_recall_wherever_edits_are(spark):
+    """At the largest allowed distance, held against the plain table for every document: spread and clustered edits, cut ends."""
     r = random.Random(11)
-    items = [(i, [f"w{r.randrange(3000)}" for _ in range(n)]) for i, n in enumerate([*range(10, 20), 25, 40, 99, 200, 400, 700])]
+    items = [(i, [f"w{r.randrange(3000)}" for _ in range(n)]) for i, n in enumerate([*range(10, 21), 25, 30, 40, 99, 200, 400, 1000])]
     index = D.build_index(spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
     rows, want = [], {}
     for i, w in items:
         most = len(w) // 10
-        tries = [("head cut", w[most:]), ("tail cut", w[:-most]), ("head replaced", [f"x{k}" for k in range(most)] + w[most:]), ("whole", w)]
-        for start in {1, 2, len(w) // 2, len(w) - most - 1}:
-            tries.append(("cluster", w[:start] + [f"x{k}" for k in range(most)] + w[start + most :]))
-            tries.append(("inserted", w[:start] + [f"x{k}" for k in range(most)] + w[start:]))
-        for _ in range(10):
-            tries.append(("spread", edited(r, w, most)))
-        for _, copy in tries:
+        tries = [w[most:], w[:-most], [f"x{k}" for k in range(most)] + w[most:], w]
+        for start in {1, 2, 3, 5, len(w) // 2, len(w) - most - 1}:
+            tries.append(w[:start] + [f"x{k}" for k in range(most)] + w[start + most :])
+            tries.append(w[:start] + [f"x{k}" for k in range(most)] + w[start:])
+        step = len(w) / most
+        tries.append([f"x{k}" if any(k == int((e + 0.5) * step) for e in range(most)) else x for k, x in enumerate(w)])
+        for _ in range(20):
+            tries.append(edited(r, w, most))
+        for copy in tries:
             text = [f"y{k}" for k in range(r.randrange(5))] + copy + [f"z{k}" for k in range(r.randrange(5))]
             exact = [plain(w, text[s : s + len(w) + most]) for s in range(max(1, len(text) - len(w) + most + 1))] if len(w) < 100 else None
             want[len(rows)] = (i, most if exact is None else min(exact), None if exact is None else exact.index(min(exact)))
             rows.append((len(rows), " ".join(text)))
         past = w[: len(w) // 2] + [f"x{k}" for k in range(most + 1)] + w[len(w) // 2 + most + 1 :]
         rows.append((len(rows), " ".join(past)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     got = {x.doc_id: [(l.item, l.edits, l.first_word) for l in x.leaks] for x in D.find_leaks(docs, index).collect()}
+    found = {}
     for doc, _ in rows:
         if doc not in want:
             assert got[doc] == [], doc
             continue
         item, edits, first = want[doc]
-        ((i, e, f),) = got[doc]
-        assert i == item and (e <= edits if first is None else (e, f) == (edits, first)), (doc, got[doc], want[doc])
+        found.setdefault(item, []).append(bool(got[doc]))
+        for i, e, f in got[doc]:
+            assert i == item and (e <= edits if first is None else (e, f) == (edits, first)), (doc, got[doc], want[doc])
+    assert all(sum(x) >= 0.9 * len(x) for x in found.values()), {len(items[i][1]): sum(x) / len(x) for i, x in found.items()}
+    assert sum(sum(x) for x in found.values()) >= 0.97 * sum(map(len, found.values()))
 
 
 def test_best_place():
