@@ -21,7 +21,7 @@ from .kernel import LOWER, SPACE, buffers, slices, with_columns, word_bounds
 
 #: Hashed trigram slots; a model holds at most this many counts per language.
 SLOTS = 1 << 15
-#: Most languages that a model may hold; with SLOTS it bounds what is collected and broadcast.
+#: Languages that a model may hold unless told otherwise, more are an error; with SLOTS it bounds what is collected and broadcast.
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
 
@@ -52,6 +52,10 @@ def byte_scripts(data: np.ndarray) -> np.ndarray:
     return out
 
 
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
+
+
 class Words:
     """Words of a slice of texts with their scripts and trigram slots."""
 
@@ -107,9 +111,11 @@ def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang", max_la
     """Counts over all rows of ``labelled`` with a language and a text.
 
     Counts are summed per task, then per (language, slot) on the executors; the
-    driver receives at most ``max_languages * (SLOTS + scripts)`` sums.  Of more
-    languages, those with most trigrams are held (ties: by name).
+    driver receives at most ``max_languages * (SLOTS + scripts)`` sums.  More
+    languages raise an error, since a model must hold all that it learns from.
     """
+    if not 0 < max_languages <= 255:
+        raise ValueError("max_languages must be from 1 to 255")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -135,8 +141,10 @@ def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang", max_la
 
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     # two-step sum: per (lang, slot) first, so that a row of ``sums`` holds at most SLOTS pairs
-    sums = rows.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.sum("n").alias("total"), F.collect_list(F.struct("slot", "n")).alias("pairs"))
-    found = sorted(sums.orderBy(F.desc("total"), "lang").limit(max_languages).collect(), key=lambda r: r.lang)
+    sums = rows.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("pairs"))
+    found = sorted(sums.limit(max_languages + 1).collect(), key=lambda r: r.lang)
+    if len(found) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise max_languages")
     counts = np.zeros((SLOTS + len(SCRIPTS), len(found)))
     for k, r in enumerate(found):
         pairs = np.array(r.pairs, np.int64)
@@ -144,38 +152,75 @@ def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang", max_la
     return Model([r.lang for r in found], counts[:SLOTS], counts[SLOTS:])
 
 
+#: Words of a stretch of a text that is walked beside others.
+STRETCH = 128
+
+
+def _step(total: np.ndarray, own: np.ndarray, penalty: float) -> np.ndarray:
+    """Totals by label (last axis) after one more word: stay, or switch from the best label."""
+    return np.maximum(total, total.max(-1, keepdims=True) - penalty) + own
+
+
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of each word: total score less ``penalty`` for each switch, ties to the lower label.
 
-    Texts run side by side, one step per word position, longest texts first.
+    Texts are cut into stretches that are walked side by side, one step per word
+    of a stretch: first from every label that a stretch may be entered with, which
+    gives the totals at the end of each by those at its start; then with the totals
+    that it is really entered with, which gives the way back.
     """
     n_words, n_labels = scores.shape
     labels = np.zeros(n_words, np.int64)
-    lengths = np.diff(first)
-    order = np.argsort(-lengths, kind="stable")
-    order = order[lengths[order] > 0]
-    if not len(order) or n_labels < 2:
+    counts = -(-np.diff(first) // STRETCH)
+    if not n_words or n_labels < 2:
         return labels
-    base, lengths = first[:-1][order], lengths[order]
+    text = np.repeat(np.arange(len(counts)), counts)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    begin = first[:-1][text] + number * STRETCH
+    length = np.minimum(first[1:][text] - begin, STRETCH)
+    final = number == counts[text] - 1
+    entry = np.zeros((len(text), n_labels))
+    inner = np.flatnonzero(~final)
+    if len(inner):
+        total = np.full((len(inner), n_labels, n_labels), -np.inf)
+        total[:, np.arange(n_labels), np.arange(n_labels)] = 0
+        for step in range(STRETCH):
+            total = _step(total, scores[begin[inner] + step][:, None, :], penalty)
+        way = np.zeros(len(text), np.int64)
+        way[inner] = np.arange(len(inner))
+        for k in range(1, int(counts.max())):
+            here = np.flatnonzero(number == k)
+            entry[here] = (entry[here - 1][:, :, None] + total[way[here - 1]]).max(1)
+    order = np.argsort(-length, kind="stable")
+    begin, length, total = begin[order], length[order], entry[order]
+    live = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")
     back = np.zeros((n_words, n_labels), np.uint8)
-    total = scores[base].astype(np.float64)
     own = np.arange(n_labels, dtype=np.uint8)
-    active = np.searchsorted(-lengths, -np.arange(1, lengths[0]), "left") if lengths[0] > 1 else np.zeros(0, np.int64)
-    for step, live in enumerate(active, 1):
-        now = total[:live]
+    for step, n in enumerate(live.tolist()):
+        now, at = total[:n], begin[:n] + step
         best = now.argmax(1)
-        switched = now[np.arange(live), best] - penalty
-        at = base[:live] + step
+        switched = now[np.arange(n), best] - penalty
         change = switched[:, None] > now
         back[at] = np.where(change, best[:, None].astype(np.uint8), own)
-        total[:live] = np.where(change, switched[:, None], now) + scores[at]
-    state = total.argmax(1)
-    labels[base + lengths - 1] = state
-    for step in range(len(active), 0, -1):
-        live = active[step - 1]
-        at = base[:live] + step
-        state[:live] = back[at, state[:live]]
-        labels[at - 1] = state[:live]
+        total[:n] = np.where(change, switched[:, None], now) + scores[at]
+    state = np.empty(len(order), np.int64)
+    state[order] = total.argmax(1)
+    if len(inner):  # the label before each stretch by the label at its end; then from the last stretch of each text to its first
+        ends = np.tile(np.arange(n_labels), (len(order), 1))
+        for step in range(len(live) - 1, -1, -1):
+            n = live[step]
+            ends[:n] = back[(begin[:n] + step)[:, None], ends[:n]]
+        before = np.empty_like(ends)
+        before[order] = ends
+        for k in range(int(counts.max()) - 1, 0, -1):
+            here = np.flatnonzero(number == k)
+            state[here - 1] = before[here, state[here]]
+    state = state[order]
+    for step in range(len(live) - 1, -1, -1):
+        n = live[step]
+        at = begin[:n] + step
+        labels[at] = state[:n]
+        state[:n] = back[at, state[:n]]
     return labels
 
 
@@ -183,8 +228,8 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", penalty: float
     """``docs`` plus the language, a score from 0 to 1 and spans ``[(lang, first word, words)]``.
 
     The score is the share of letters under the predicted label.  A null text, a
-    text without letters, or a model without languages gives ``und``, 0 and no
-    spans.  Ties go to the first name in order.  Columns with a new one's name
+    text without a letter (by Unicode), or a model without languages gives ``und``, 0 and no
+    spans; letters of no listed script give the first name and 0.  Ties go to the first name in order.  Columns with a new one's name
     are replaced; rows do not depend on each other.
     """
     context = docs.sparkSession.sparkContext.broadcast(model)
@@ -203,11 +248,11 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", penalty: float
             doc = np.repeat(np.arange(n), np.diff(words.first))
             weight = np.bincount(doc * max(len(names), 1) + labels, weights=words.letters, minlength=n * max(len(names), 1)).reshape(n, -1)
             total, best = weight.sum(1), weight.argmax(1)
-            known = (total > 0) & bool(names)
-            if len(rare := np.flatnonzero(total < 16)):  # blocks also hold digits and marks, and not all letters are in a listed block
-                for i in rare:
-                    value = column[int(i)].as_py()
-                    known[i] = bool(names) and value is not None and any(c.isalpha() for c in value)
+            latin = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
+            known = (latin[offsets[1:]] > latin[offsets[:-1]]) & bool(names)
+            for i in np.flatnonzero(~known & bool(names)):  # blocks also hold digits and marks, and not all letters are in a listed block
+                value = column[int(i)].as_py()
+                known[i] = value is not None and any(c.isalpha() for c in value)
             out_pred = [names[best[i]] if known[i] else UNKNOWN for i in range(n)]
             out_score = np.where(known & (total > 0), weight.max(1) / np.maximum(total, 1), 0.0)
             out_spans = []
