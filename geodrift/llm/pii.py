@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .names import unused
+
 #: Kinds in the order of output; the first four have base rules.
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret")
 
@@ -33,12 +36,12 @@ _IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 
 #: Generators of further candidates, each a kind, a pattern and a text that must occur (or None).
 GENERATORS = (
-    ("email", r"[A-Za-z0-9._-]{1,64}\s?[\[(]at[\])]\s?[A-Za-z0-9-]{1,64}(?:\s?(?:[\[(]dot[\])]|\.)\s?[A-Za-z]{2,24}){1,4}", "at"),
+    ("email", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\s?[\[(]at[\])]\s?[A-Za-z0-9-]++(?:\s?(?:[\[(]dot[\])]|\.)\s?[A-Za-z]{2,}+)++", "at"),
     ("card", r"(?<![0-9A-Za-z.+-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])", None),
     ("phone", r"(?<![0-9A-Za-z.+(-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])", None),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "-"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", None),
-    ("secret", r"(?<![0-9A-Za-z_/+-])(?=[A-Za-z_/+-]{0,64}[0-9])[A-Za-z0-9_/+-]{20,512}(?![0-9A-Za-z_/+-])", None),
+    ("secret", r"(?<![0-9A-Za-z_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{20,}+(?![0-9A-Za-z_/+-])", None),
 )
 
 #: Characters of context on the left of a candidate.
@@ -70,19 +73,56 @@ def luhn(digits: Column) -> Column:
     return (n > 0) & (total % 10 == 0)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: a lambda computes what it mentions anew at each call."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Elements that one step of a scan holds: an array that grows is copied at each append.
+SCAN_BLOCK = 64
+
+
+def _blocks(items: Column) -> Column:
+    """The array cut into arrays of SCAN_BLOCK elements."""
+    return _let(items, lambda own: F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / SCAN_BLOCK).cast("int")), lambda b: F.slice(own, b * SCAN_BLOCK + 1, SCAN_BLOCK)))
+
+
+def _scanned(items: Column, zero: Column, value: Callable[[Column], Column], join: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``out(before, x)`` for each x, where ``before`` joins ``zero`` and the values of all elements ahead of x.
+
+    Blocks are summed first, so the work is that of n * (SCAN_BLOCK + n / SCAN_BLOCK**2) copies, not n * n.
+    """
+    def walk(over: Column, start: Column, of: Callable[[Column], Column], made: Callable[[Column, Column], Column], made_kind: str) -> Column:
+        return F.aggregate(
+            over,
+            F.struct(start.alias("at"), F.array().cast(f"array<{made_kind}>").alias("out")),
+            lambda acc, x: F.struct(join(acc["at"], of(x)).alias("at"), F.array_append(acc["out"], made(acc["at"], x)).alias("out")),
+        )["out"]
+
+    def whole(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, zero, lambda acc, x: join(acc, value(x))))
+        starts = walk(totals, zero, lambda x: x, lambda at, x: at, "int")
+        return F.flatten(F.zip_with(blocks, starts, lambda block, start: walk(block, start, value, out, kind)))
+
+    return _let(_blocks(items), whole)
+
+
 def _located(text: Column, pattern: str) -> Column:
-    """[(start, end, value)] of the leftmost non-overlapping matches, in code points, end exclusive."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    found = F.aggregate(
-        F.arrays_zip(values.alias("value"), F.slice(gaps, 1, F.size(values)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("end"), x["value"].alias("value"))).alias("out"),
-        ),
-    )["out"]
-    return F.when(F.size(values) > 0, found)
+    """[(start, end, value, left)] of the leftmost non-overlapping matches, in code points, end exclusive.
+
+    ``left`` is what stands between the match before and this one, CONTEXT characters of it.
+    """
+    def placed(values: Column) -> Column:
+        pairs = F.arrays_zip(values.alias("value"), F.slice(F.split(text, pattern, -1), 1, F.size(values)).alias("gap"))
+        sized = F.transform(pairs, lambda x: F.struct(x["value"].alias("value"), F.length(x["gap"]).alias("skip"), F.length(x["value"]).alias("size"), F.right(x["gap"], F.lit(CONTEXT)).alias("left")))
+        found = _scanned(
+            sized, F.lit(0), lambda x: x["skip"] + x["size"], lambda a, b: a + b,
+            lambda at, x: F.struct((at + x["skip"]).alias("start"), (at + x["skip"] + x["size"]).alias("end"), x["value"].alias("value"), x["left"].alias("left")),
+            "struct<start:int,end:int,value:string,left:string>",
+        )
+        return F.when(F.size(values) > 0, found)
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -96,9 +136,8 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _features(text: Column, kind: int, x: Column) -> Column:
-    value = x["value"]
-    left = F.substr(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
+def _features(kind: int, x: Column) -> Column:
+    value, left = x["value"], x["left"]
     digits = _digits(value)
     length = F.length(value)
 
@@ -135,7 +174,7 @@ def _candidates(text: Column) -> Column:
     parts = []
     for kind, pattern, needed in GENERATORS:
         number = KINDS.index(kind)
-        spans = F.transform(_located(text, pattern), lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind"), x["end"].alias("end"), _features(text, number, x).alias("features")))
+        spans = F.transform(_located(text, pattern), lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind"), x["end"].alias("end"), _features(number, x).alias("features")))
         spans = F.when(F.contains(text, F.lit(needed)), spans) if needed else spans
         parts.append(F.coalesce(spans.cast(kind_of), F.array().cast(kind_of)))
     return F.concat(*parts)
@@ -246,7 +285,7 @@ def synthetic(n: int = 1600, seed: int = 11) -> list[tuple[str, int]]:
     return out
 
 
-_models: dict[tuple[int, int], Boosted] = {}
+_models: dict[tuple[int, int, float], Boosted] = {}
 
 
 def train(spark: SparkSession, *, n: int = 1600, seed: int = 11, precision: float = 0.97) -> Boosted:
@@ -255,7 +294,7 @@ def train(spark: SparkSession, *, n: int = 1600, seed: int = 11, precision: floa
     A kind's threshold is the least score that reaches ``precision`` on the held-out
     part (and 0 at least).  The same arguments give the same model, kept per process.
     """
-    if (n, seed) not in _models:
+    if (n, seed, precision) not in _models:
         rows = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(synthetic(n, seed))], "i int, text string, y int")
         found = rows.select("i", "y", F.explode(_candidates(F.col("text"))).alias("c")).select("i", "y", "c.kind", "c.features").orderBy("i", "c.start").collect()
         x, y, kind, held = np.array([r.features for r in found]), np.array([r.y for r in found], float), np.array([r.kind for r in found]), np.array([r.i % 8 in (2, 3) for r in found])
@@ -266,8 +305,23 @@ def train(spark: SparkSession, *, n: int = 1600, seed: int = 11, precision: floa
             own = np.sort(scores[held & (kind == k)])
             fits = [s for s in own if s > 0 and y[held & (kind == k) & (scores >= s)].mean() >= precision]
             thresholds.append(float(min(fits)) - 1e-6 if fits else 1e9 if len(own) else 0.0)
-        _models[n, seed] = Boosted(start, trees, tuple(thresholds))
-    return _models[n, seed]
+        _models[n, seed, precision] = Boosted(start, trees, tuple(thresholds))
+    return _models[n, seed, precision]
+
+
+def _beside(spans: Column) -> Column:
+    """Chosen spans that overlap no base span, from all spans in order; two scans, one each way.
+
+    Of the base spans ahead the last end counts, of those behind the first start.
+    """
+    never = F.lit(2**31 - 1)
+    ahead = _scanned(spans, F.lit(0), lambda x: F.when(x["base"], x["end"]).otherwise(0), lambda a, b: F.greatest(a, b), lambda at, x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["base"].alias("base"), (at <= x["start"]).alias("free")), _SPAN[:-1] + ",free:boolean>")
+    behind = _scanned(F.reverse(ahead), never, lambda x: F.when(x["base"], x["start"]).otherwise(never), lambda a, b: F.least(a, b), lambda at, x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["base"].alias("base"), (x["free"] & (at >= x["end"])).alias("free")), _SPAN[:-1] + ",free:boolean>")
+    left = F.filter(F.reverse(behind), lambda x: x["base"] | x["free"])
+    return F.transform(left, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "kind", "end", "base")]))
+
+
+_SPAN = "struct<start:int,kind:int,end:int,base:boolean>"
 
 
 def find(docs: DataFrame, model: Boosted, *, text: str = "text", spans: str = "pii_spans") -> DataFrame:
@@ -276,19 +330,25 @@ def find(docs: DataFrame, model: Boosted, *, text: str = "text", spans: str = "p
     ``kind`` indexes KINDS; offsets are code points, end exclusive; ``base`` tells
     spans of the base rules, which are all there.  A span chosen by the model
     overlaps no base span.  Null, empty and other texts give an empty array; rows
-    do not depend on each other; no shuffle; a column named like ``spans`` is replaced.
+    do not depend on each other, so repeated rows get equal spans and an empty table
+    none; no shuffle; a column named like ``spans`` is replaced, others pass through
+    whatever their names.  Memory is a small multiple of a text and its matches.
     """
-    span = "array<struct<start:int,kind:int,end:int,base:boolean>>"
-    kept = docs.select(*[docs[c] for c in docs.columns if c != spans])
-    column = kept[text]
+    kept = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c != spans])
+    held = unused("pii", docs.columns)
+    column = kept[f"`{text}`"]
     names = [F.col(f"`{c}`") for c in kept.columns]
-    searched = kept.select(*names, F.when(_searchable(column), F.struct(_base(column).alias("base"), _candidates(column).alias("more"))).alias("_pii"))
+    searched = kept.select(*names, F.when(_searchable(column), F.struct(_base(column).alias("base"), _candidates(column).alias("more"))).alias(held))
     limits = F.array(*[F.lit(float(t)) for t in model.thresholds])
-    base = F.transform("_pii.base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(True).alias("base")))
-    chosen = F.filter("_pii.more", lambda x: (model.column(x["features"]) >= limits[x["kind"]]) & ~F.exists("_pii.base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    base = F.transform(F.col(held)["base"], lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(True).alias("base")))
+    chosen = F.filter(F.col(held)["more"], lambda x: model.column(x["features"]) >= limits[x["kind"]])
     added = F.transform(chosen, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(False).alias("base")))
-    both = F.array_sort(F.array_distinct(F.concat(base, added)))
-    return searched.select(*names, F.coalesce(F.when(F.col("_pii").isNotNull(), both), F.array().cast(span)).cast(span).alias(spans))
+    both = unused("spans", [*docs.columns, held])
+    searched = searched.select(*names, F.when(F.col(held).isNotNull(), F.array_sort(F.array_distinct(F.concat(base, added)))).alias(both), (F.size(base) > 0).alias(held))
+    # without base spans, or without others, nothing can overlap
+    mixed = F.col(held) & F.exists(both, lambda x: ~x["base"])
+    found = F.when(F.size(both) > 0, F.when(mixed, _beside(F.col(both))).otherwise(F.col(both)))
+    return searched.select(*names, F.coalesce(found, F.array().cast(f"array<{_SPAN}>")).cast(f"array<{_SPAN}>").alias(spans))
 
 
 def listed(spans: Column) -> Column:
@@ -298,18 +358,20 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by ``[KIND]``; overlapping spans become one, named by the first."""
-    merged = F.aggregate(
-        spans,
-        F.array().cast("array<struct<after:int,start:int,kind:int,end:int>>"),
-        lambda acc, x: (
-            lambda last: F.when(
-                last["end"] > x["start"],
-                F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(last["after"].alias("after"), last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], x["end"]).alias("end"))),
-            ).otherwise(F.array_append(acc, F.struct(F.coalesce(last["end"], F.lit(0)).alias("after"), x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-        )(F.try_element_at(acc, F.lit(-1))),
-    )
-    # each piece carries where the one before it ended: a lambda must not look up the whole array again
+    """The text with each span replaced by ``[KIND]``; overlapping spans become one, named by the first.
+
+    ``spans`` are in order of start.  A block of spans takes its stretch of the
+    text once, and each span of it a part of that stretch.
+    """
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    pieces = F.transform(merged, lambda x: F.concat(F.substr(text, x["after"] + 1, x["start"] - x["after"]), names[x["kind"]]))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), F.substr(text, F.element_at(merged, -1)["end"] + 1))).otherwise(text)
+    kind = "struct<after:int,start:int,kind:int,end:int>"
+    placed = _scanned(spans, F.lit(0), lambda x: x["end"], lambda a, b: F.greatest(a, b), lambda at, x: F.struct(at.alias("after"), x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")), kind)
+
+    def stretch(block: Column) -> Column:
+        since, to = F.get(block, F.lit(0))["after"], F.greatest(F.element_at(block, -1)["start"], F.element_at(block, -1)["after"])
+        own = F.struct(F.substr(text, since + 1, to - since).alias("text"), since.alias("since"))
+        parts = _let(own, lambda o: F.transform(block, lambda x: F.when(x["start"] >= x["after"], F.concat(F.substr(o["text"], x["after"] - o["since"] + 1, x["start"] - x["after"]), names[x["kind"]])).otherwise("")))
+        return F.array_join(parts, "")
+
+    last = F.array_max(F.transform(spans, lambda x: x["end"]))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(_blocks(placed), stretch), ""), F.substr(text, last + 1))).otherwise(text)

@@ -67,3 +67,45 @@ def test_query(spark):
         r = rows[d.doc_id]
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[1] == k for x in base) for k in range(4)]
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and set(filter(None, text.split(","))) <= set(r.spans.split(","))
+
+
+def merged(text, spans):
+    """The text with its spans named, by one walk over them."""
+    out, at = "", 0
+    for start, kind, end in spans:
+        if start >= at:
+            out += text[at:start] + f"[{pii.KINDS[kind].upper()}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_many_spans_and_long_candidates(spark):
+    """Texts with hundreds of thousands of numbers in seconds, candidates of any length, and redaction of many spans."""
+    import random
+    import time
+
+    model = pii.train(spark)
+    r = random.Random(3)
+    mixed = " ".join(r.choice(["a.b@c.de", "x", "10.0.0.1", "+44 20 7946 0958", "4111 1111 1111 1111", "été", "SSN 123-45-6789", "4012888888881881 1.2.3.4", "joe [at] mail [dot] com", ","]) for _ in range(3000))
+    secret = "key = " + "a1B2c3D4" * 75
+    texts = [" ".join(f"{k}.5" for k in range(400_000)), ", ".join("a@b.cd" for _ in range(40_000)), mixed, secret + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(5, "doc_id")
+    began = time.time()
+    found = pii.find(docs, model)
+    got = {x.doc_id: x for x in found.withColumn("red", pii.redacted(found.text, found.pii_spans)).collect()}
+    assert time.time() - began < 90
+    for k in (1, 2):
+        assert [(s.start, s.kind, s.end) for s in got[k].pii_spans if s.base] == brute(texts[k])
+    for k, text in enumerate(texts):
+        assert got[k].red == merged(text, [(s.start, s.kind, s.end) for s in got[k].pii_spans])
+        base = [s for s in got[k].pii_spans if s.base]
+        if k == 2:
+            assert all(not (a.start < b.end and b.start < a.end) for a in got[k].pii_spans if not a.base for b in base)
+    assert got[3].red == "key = [SECRET] end"
+
+
+def test_models_by_precision_and_odd_names(spark):
+    assert pii.train(spark, n=400, precision=0.5) is not pii.train(spark, n=400, precision=0.99)
+    docs = spark.createDataFrame([("a@b.cd", 1, 2, 3), ("a@b.cd", 1, 2, 3)], "`my.text` string, _pii int, _spans int, `x.y` int")
+    got = pii.find(docs, pii.train(spark), text="my.text").collect()
+    assert len(got) == 2 and got[0] == got[1] and (got[0]._pii, got[0]._spans, got[0]["x.y"]) == (1, 2, 3) and len(got[0].pii_spans) == 1
