@@ -5,7 +5,7 @@ so equal texts are neighbours yet a hot text can be split between shards.  Each
 round counts the exact bytes and rows below evenly spaced probes inside the key
 intervals that are still too coarse; an interval is refined while it holds the
 ideal place of a splitter and more bytes than the tolerance, or more bytes than
-a piece may hold.  When all splitters meet the tolerance, the rows are exchanged
+a piece may hold (PIECE_BYTES).  When all splitters meet the tolerance, the rows are exchanged
 once, by piece, and numbered inside their piece; offsets give the slot in the shard.
 """
 
@@ -17,9 +17,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import Scratch
+from .names import unused
+
 #: Key bits that the first round of probes covers, and that each later one adds.
 FIRST_BITS, ROUND_BITS = 12, 8
 KEY_BITS = 60
+#: Bytes of a piece, the unit of the exchange, and the number of pieces beyond which they grow with the table.
+PIECE_BYTES, MAX_PIECES = 8 << 20, 400_000
+#: Interval sums that a round may send to the driver (about 24 bytes each).
+ROUND_SUMS = 4_000_000
 #: Bytes that a row counts besides its text.
 ROW_BYTES = 8
 
@@ -56,32 +63,33 @@ def _counts(keyed: DataFrame, depth: int, opened: list[Interval] | None, before:
     return [Interval(depth, r.prefix, r.n_rows, r.n_bytes) for r in rows]
 
 
-def plan(keyed: DataFrame, n_shards: int, *, tolerance: float = 0.002, pieces_per_shard: int = 16) -> tuple[list[Interval], list[int]]:
-    """(intervals in key order, shard of each) for rows with ``key`` and ``size``.
+def plan(keyed: DataFrame, n_shards: int, *, tolerance: float = 0.002, piece_bytes: int = PIECE_BYTES) -> tuple[list[Interval], list[int], float]:
+    """(intervals in key order, shard of each, most bytes of a piece) for rows with ``key`` and ``size``.
 
     ``tolerance`` is the share of a shard's ideal bytes by which a splitter may
     miss its place; only rows with equal keys (copies of one row) can make it
     miss by more.  The first round counts at most 2**FIRST_BITS intervals, a later
-    one at most 2**ROUND_BITS in each open one, and at most
-    ``n_shards * (pieces_per_shard + 1)`` are open, which bounds what the driver
-    holds and broadcasts whatever the input.
+    one at most ROUND_SUMS in the open ones; the driver ends with about two for
+    each piece, of which there are MAX_PIECES and a few for each shard at most.
     """
     done: list[Interval] = []
     opened, depth = None, 0
     total = 0
     while True:
-        deeper = depth + (ROUND_BITS if depth else FIRST_BITS)
+        bits = FIRST_BITS if opened is None else max(1, min(ROUND_BITS, (ROUND_SUMS // len(opened)).bit_length() - 1))
+        deeper = min(depth + bits, KEY_BITS)
         found = _counts(keyed, deeper, opened, depth)
         if opened is None:
             total = sum(x.n_bytes for x in found)
         ordered = sorted(done + found, key=lambda x: x.start)
-        ideal = total / n_shards if n_shards else 0
+        ideal = total / n_shards
+        limit = min(ideal, max(piece_bytes, total / MAX_PIECES))
         again, below = [], 0
         for x in ordered:
             nearest = round((below + x.n_bytes / 2) / ideal) if ideal else 0
             inside = any(below < k * ideal < below + x.n_bytes for k in (nearest - 1, nearest, nearest + 1) if 0 < k < n_shards)
             below += x.n_bytes
-            if x.depth == deeper and deeper < KEY_BITS and x.n_rows > 1 and (inside and x.n_bytes > tolerance * ideal or x.n_bytes > ideal / pieces_per_shard):
+            if x.depth == deeper and deeper < KEY_BITS and x.n_rows > 1 and (inside and x.n_bytes > tolerance * ideal or x.n_bytes > limit):
                 again.append(x)
         if not again:
             break
@@ -102,23 +110,29 @@ def plan(keyed: DataFrame, n_shards: int, *, tolerance: float = 0.002, pieces_pe
         while shard < n_shards - 1 and i >= cuts[shard]:
             shard += 1
         shards.append(shard)
-    return ordered, shards
+    return ordered, shards, limit
 
 
-def shard(docs: DataFrame, n_shards: int, *, key: str = "doc_id", text: str = "text", tolerance: float = 0.002, pieces_per_shard: int = 16) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int, *, key: str = "doc_id", text: str = "text", tolerance: float = 0.002, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """``docs`` plus ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in each shard).
 
     A shard's bytes (UTF-8 bytes of the text plus 8 for each row; a null text has
     none) differ from the mean by the tolerance and at most one row's size per
-    end.  Rows with equal id and text are one unit of the key but get slots of
-    their own; null ids and texts are ordinary values; an empty table gives no
-    rows; columns of docs named shard or slot are replaced, others pass through.
+    end.  Rows of a shard are in order of key, id and text.  Rows with equal id and
+    text are one unit of the key but get slots of their own; null ids and texts are
+    ordinary values; an empty table gives no rows; columns of docs named shard or
+    slot are replaced, others pass through whatever their names.  The texts are
+    read twice: once for keys and sizes, which are kept, and once to be exchanged.
     """
-    kept = docs.select(*[docs[c] for c in docs.columns if c not in ("shard", "slot")])
-    keyed = kept.select(sort_key(key, text).alias("key"), size_of(text).alias("size"))
-    intervals, shards = plan(keyed, n_shards, tolerance=tolerance, pieces_per_shard=pieces_per_shard)
+    if n_shards < 1:
+        raise ValueError("n_shards must be at least 1")
+    kept = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in ("shard", "slot")])
+    id_column, text_column = F.col(f"`{key}`"), F.col(f"`{text}`")
+    scratch = Scratch(docs.sparkSession)
+    keyed = scratch.keep(kept.select(sort_key(id_column, text_column).alias("key"), size_of(text_column).alias("size")))
+    intervals, shards, limit = plan(keyed, n_shards, tolerance=tolerance, piece_bytes=piece_bytes)
+    scratch.close()
     rows, piece, offset, held, previous = [], -1, {}, 0, -1
-    limit = sum(x.n_bytes for x in intervals) / n_shards / pieces_per_shard if intervals else 0
     start: dict[int, int] = {}
     for x, s in zip(intervals, shards):
         if s != previous or held + x.n_bytes > limit:
@@ -129,13 +143,17 @@ def shard(docs: DataFrame, n_shards: int, *, key: str = "doc_id", text: str = "t
         offset[s] = offset.get(s, 0) + x.n_rows
         rows.append((x.depth, x.prefix, piece, s, start[piece]))
     spark = docs.sparkSession
-    where = kept.withColumn("_key", sort_key(key, text))
+    own_key, own_at, own_piece = (unused(name, docs.columns) for name in ("key", "at", "piece"))
+    where = kept.withColumn(own_key, sort_key(id_column, text_column))
     places = []
     for depth in sorted({r[0] for r in rows}) or [FIRST_BITS]:
-        part = spark.createDataFrame([(r[1], r[2:]) for r in rows if r[0] == depth], f"_p{depth} long, _at{depth} struct<piece:int,shard:int,start:long>")
-        where = where.join(F.broadcast(part), F.shiftrightunsigned("_key", KEY_BITS - depth) == F.col(f"_p{depth}"), "left").drop(f"_p{depth}")
-        places.append(f"_at{depth}")
-    placed = where.withColumn("_at", F.coalesce(*places)).drop(*places).withColumn("_piece", F.col("_at.piece"))
-    order = Window.partitionBy("_piece").orderBy("_key", key, text)
+        prefix, at = unused(f"prefix{depth}", docs.columns), unused(f"at{depth}", docs.columns)
+        part = spark.createDataFrame([(r[1], r[2:]) for r in rows if r[0] == depth], f"{prefix} long, {at} struct<piece:int,shard:int,start:long>")
+        where = where.join(F.broadcast(part), F.shiftrightunsigned(own_key, KEY_BITS - depth) == F.col(prefix), "left").drop(prefix)
+        places.append(at)
+    placed = where.withColumn(own_at, F.coalesce(*places)).drop(*places).withColumn(own_piece, F.col(own_at)["piece"])
+    # one task for each piece, so that no task's share grows with the table
+    dealt = placed.repartitionById(max(1, piece + 1), F.col(own_piece))
+    order = Window.partitionBy(own_piece).orderBy(F.col(own_key), id_column, text_column)
     columns = [F.col(f"`{c}`") for c in kept.columns]
-    return placed.select(*columns, F.col("_at.shard").alias("shard"), (F.col("_at.start") + F.row_number().over(order) - 1).alias("slot"))
+    return dealt.select(*columns, F.col(own_at)["shard"].alias("shard"), (F.col(own_at)["start"] + F.row_number().over(order) - 1).alias("slot"))

@@ -1,8 +1,10 @@
 """Balance, gapless slots and whole rows, with hot copies and odd rows."""
 
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from geodrift.llm import sharding as S
 
@@ -48,3 +50,42 @@ def test_documents(spark):
     mean = sum(size.values()) / 24
     assert len(rows) == 1000 and all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert max(abs(x - mean) for x in size.values()) < 0.25 * mean  # whole documents of up to 33 kB in shards of 100 kB
+
+
+def test_query_by_plain_placement(spark):
+    """Every contract column by a plain walk over the rows in key order; the key is the published hash."""
+    from geodrift.llm.queries import QUERIES
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    half = (1 << 30) - 1
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"), F.xxhash64("doc_id").alias("i")).collect()
+    rows.sort(key=lambda r: ((r.t & half) << 30 | r.i & half, r.doc_id, r.text or ""))
+    sizes = [len((r.text or "").encode()) + 8 for r in rows]
+    got = {r.doc_id: r for r in QUERIES["op2_sharding"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(rows)
+    at, below, ideal, slot = 0, 0, sum(sizes) / 24, 0
+    for r, size in zip(rows, sizes):
+        own = got[r.doc_id]
+        assert own.shard in (at, at + 1)
+        if own.shard > at:  # the splitter is the row's end nearest to its place, give or take the tolerance
+            place = own.shard * ideal
+            assert abs(below - place) <= max(size, last) / 2 + 0.002 * ideal + 1
+            at, slot = own.shard, 0
+        assert (own.size, own.text_crc32, own.law, own.slot, own.grown_shard) == (size, zlib.crc32((r.text or "").encode()), "bytes", slot, None)
+        below, slot, last = below + size, slot + 1, size
+    assert at == 23
+
+
+def test_small_pieces_and_odd_names(spark, monkeypatch):
+    rows = [(i % 900, "same text" if i % 3 == 0 else f"text {i}", i, str(i), f"p{i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key int, _piece string, `a.b` string")
+    monkeypatch.setattr(S, "ROUND_SUMS", 500)
+    got = S.shard(docs, 5, piece_bytes=300).collect()
+    assert Counter((r.doc_id, r.text, r._key, r._piece, r["a.b"]) for r in got) == Counter(rows)
+    size = held(got, 5)
+    mean = sum(size.values()) / 5
+    assert all(abs(x - mean) <= 0.01 * mean + 40 for x in size.values())
+    again = {(r._key, r.shard) for r in S.shard(docs.repartition(7), 5).collect()}
+    assert again == {(r._key, r.shard) for r in got}
+    with pytest.raises(ValueError):
+        S.shard(docs, 0)
