@@ -144,7 +144,7 @@ def with_columns(
     ``SLICE_BYTES`` and one Arrow batch.
     """
     names = {f.name for f in fields}
-    kept = docs.select(*[docs[c] for c in docs.columns if c not in names or c in inputs])
+    kept = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in names or c in inputs])
     passed = [f for f in kept.schema.fields if f.name not in names]
     kinds = {f.name: f.dataType for f in fields}
 

@@ -8,6 +8,7 @@ expected grade and the tail probability P(grade >= k) used for selection.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,14 +82,17 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, *, n_grades: int, penalty: f
 
     A feature's value is the log-odds ratio of its presence below the top grade
     against the top grade; a feature whose ratio is within ``min_z`` standard
-    errors of 0 gets no weight.  Without rows, all weights are 0 and every text
-    has the top grade as its most likely one.
+    errors of 0 gets no weight.  Ratings that are all below the top grade, all of
+    it, or none at all show no feature's ratio: all weights are 0, the thresholds
+    give every text the shares of the ratings (plus one on either side), and a
+    warning says so.
     """
     weights = np.zeros(SLOTS)
     cuts = np.linspace(-2.0, -1.0, n_grades - 1)
     low = grades < n_grades - 1
     if not len(rows) or low.all() or not low.any():
-        return Model(weights.astype(np.float32), cuts)
+        warnings.warn("ratings on one side of the top grade, or none: the model knows their shares only", stacklevel=2)
+        return Model(weights.astype(np.float32), np.array([np.log(((grades < k).sum() + 1) / ((grades >= k).sum() + 1)) for k in range(1, n_grades)]))
     cols, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     bad, all_ = np.bincount(cols[low[owner]], minlength=SLOTS), np.bincount(cols, minlength=SLOTS)
     a, b, c, d = bad + 0.5, all_ - bad + 0.5, low.sum() - bad + 0.5, (~low).sum() - (all_ - bad) + 0.5
@@ -125,9 +129,9 @@ def train(docs: DataFrame, ratings: DataFrame, *, grade: str = "grade", key: str
     are left out, as are rated rows with a null text.  The bound holds what is
     broadcast (keys) and collected (feature slots) whatever the size of docs.
     """
-    rated = ratings.select(F.col(key).alias("k"), F.col(grade).cast("int").alias("g")).where(f"k IS NOT NULL AND g BETWEEN 0 AND {n_grades - 1}")
+    rated = ratings.select(F.col(f"`{key}`").alias("k"), F.col(f"`{grade}`").cast("int").alias("g")).where(f"k IS NOT NULL AND g BETWEEN 0 AND {n_grades - 1}")
     rated = rated.groupBy("k").agg(F.min("g").alias("g")).orderBy(F.xxhash64("k"), "k").limit(max_rows)
-    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(rated), "k").where("t IS NOT NULL")
+    found = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(rated), "k").where("t IS NOT NULL")
 
     def make():
         def work(column: pa.Array) -> dict[str, object]:

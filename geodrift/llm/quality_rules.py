@@ -24,10 +24,13 @@ from pyspark.sql import types as T
 from .kernel import SPACE, Prefix, buffers, windows, with_columns, word_bounds
 
 SYMBOLS = b"#*$%&|<>"
-#: Fixed phrases of page furniture, lower case.
+#: Fixed phrases of page furniture in English, Spanish, French and German, lower case.
 PHRASES = (
     "accept all cookies", "all rights reserved", "click here to", "cookie policy", "enable javascript", "javascript is disabled", "log in to", "lorem ipsum",
     "privacy policy", "sign up for our newsletter", "skip to content", "subscribe to our newsletter", "terms of service", "terms of use", "use of cookies",
+    "aceptar todas las cookies", "condiciones de uso", "política de cookies", "política de privacidad", "suscríbete a nuestro boletín", "todos los derechos reservados",
+    "accepter tous les cookies", "conditions d'utilisation", "politique de confidentialité", "politique de cookies", "abonnez-vous à notre newsletter", "tous droits réservés",
+    "alle cookies akzeptieren", "nutzungsbedingungen", "cookie-richtlinie", "datenschutzerklärung", "newsletter abonnieren", "alle rechte vorbehalten",
 )
 
 _SYMBOL = np.zeros(256, bool)

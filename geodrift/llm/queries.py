@@ -34,7 +34,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = quality_rules.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cleaned.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars")
+    return cleaned.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars", F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

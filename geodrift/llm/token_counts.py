@@ -39,12 +39,21 @@ def library(path: str):
 
     if path not in _loaded:
         tokenizer = Tokenizer.from_file(path)
+        _check_added(tokenizer)
         tokenizer.no_truncation()
         tokenizer.no_padding()
         _loaded[path] = tokenizer
     return _loaded[path]
 
 
+def _check_added(tokenizer) -> None:
+    """Raises if an added token can stand across a cut: it holds a space after a visible character, a mark after a letter, or strips white space."""
+    for token in tokenizer.get_added_tokens_decoder().values():
+        raw = token.content.encode()
+        if token.lstrip or token.rstrip or len(chunk_starts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))) > 1:
+            raise ValueError(f"the added token {token.content!r} can stand across a chunk's end")
+
+
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where chunks start: at documents, at a space after a character that is surely
     not white space, and at one of ``MARKS`` after a character that is surely a letter.
@@ -111,7 +120,11 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text", count: str =
 
     ``path`` names a tokenizers .json file with a byte-level pre-tokenizer that
     adds no prefix space.  No special tokens are added; special strings inside a
-    text are taken as the library takes them by default.  Null or empty: 0.
+    text are taken as the library takes them by default.  Null or empty: 0;
+    repeated rows get equal counts, an empty table gives no rows, a column named
+    like ``count`` is replaced and others pass through whatever their names.  An
+    added token that could stand across a cut raises an error.  A text takes a
+    small multiple of its bytes.
     """
 
     def make():

@@ -62,3 +62,18 @@ def test_stages_on_odd_rows(spark):
     assert len(kept) == len(set(kept)) and 3 not in kept
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DIR).count() == len(kept)
     assert docs.where(F.col("text").contains("@")).count() == 0
+
+
+def test_one_id_on_two_texts_and_odd_columns(spark):
+    """Documents are told apart by id and text; of equal rows the least by all columns stays."""
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(3, one, "en", 1), (7, one + " end", "en", 2), (7, two, "fr", 3), (9, two + " end", "en", 4), (7, two, "de", 3), (None, one, "en", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `_key.x` int").withColumn("_key", F.lit(1))
+    got = sorted((r.doc_id or 0, r.text, r.lang) for r in corpus_pipeline.ngram_jaccard_join(spark, docs, DIR).collect())
+    assert got == [(0, one, "en"), (3, one, "en"), (7, two, "de")]
+
+
+def test_n_chars_follows_redaction(spark):
+    docs = spark.createDataFrame([(1, "write to a@b.cd now", 99, 1), (2, "nothing here", 99, 2), (3, None, None, 3)], "doc_id long, text string, n_chars long, _spans int")
+    got = sorted(tuple(r) for r in corpus_pipeline.redaction(spark, docs, DIR).collect())
+    assert got == [(1, "write to [EMAIL] now", 20, 1), (2, "nothing here", 99, 2), (3, None, None, 3)]

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from geodrift.llm import quality_model as Q
 
@@ -44,3 +45,14 @@ def test_held_out_and_edges(spark):
     assert Q.score(odd.limit(0), model).count() == 0
     empty = Q.train(docs.limit(0), ratings.limit(0))
     assert all(r.kept for r in Q.score(odd, empty, threshold=0.5).collect())
+
+
+def test_one_sided_or_no_ratings(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id long, text string")
+    for grades, most_likely_kept in (([], False), ([0] * 30, False), ([2] * 30, True)):
+        ratings = spark.createDataFrame(list(enumerate(grades)), "doc_id long, grade int")
+        with pytest.warns(UserWarning, match="one side"):
+            model = Q.train(docs, ratings)
+        rows = Q.score(docs, model).collect()
+        want = (sum(g >= 2 for g in grades) + 1) / (len(grades) + 2)
+        assert all(abs(r.tail_prob - want) < 1e-6 and r.kept == most_likely_kept for r in rows)
