@@ -8,45 +8,69 @@ tokens; rows with a null id are never duplicates of others.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geodrift.llm import bpe, decontaminate, ngram_join, pii, quality_model
 from geodrift.llm.graph import settled
+from geodrift.llm.names import unused
 
 #: Ids of documents to drop that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
 
+def columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, whatever their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose tail probability of the top grade reaches the operator's threshold."""
+    """Documents whose tail probability of the top grade reaches the operator's threshold.
+
+    Rows are judged one by one, so repeated rows and ties fare alike; an empty table stays empty; texts are judged whole.
+    """
+    kept = unused("kept", docs.columns)
     ratings = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", quality_model.grade_of().alias("grade"))
-    scored = quality_model.score(docs, quality_model.train(docs, ratings), kept="_kept", expected="_expected", tail="_tail")
-    return scored.where("_kept").select(*docs.columns)
+    scored = quality_model.score(docs, quality_model.train(docs, ratings), kept=kept, expected=unused("expected", docs.columns), tail=unused("tail", docs.columns))
+    return scored.where(kept).select(*columns(docs))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component; of rows with equal ids, one."""
-    groups = settled(ngram_join.near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", (F.col("component_id") != F.col("doc_id")).alias("drop")))
-    dropped = groups.where("drop").select("doc_id").distinct()
-    kept = docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti")
-    again = groups.where("NOT drop").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """One document of each component: the least by id, then by hash of the text.
+
+    Rows with one id and different texts are documents of their own.  Of rows
+    with equal id and text the least by all columns stays; rows with a null id and
+    texts without words stay.  An empty table stays empty.
+    """
+    key, place = unused("key", docs.columns), unused("place", docs.columns)
+    keyed = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))))
+    groups = ngram_join.near_duplicates(keyed, id_column=key).where(F.col(key).isNotNull())
+    dropped = groups.where(F.col("component_id") != F.col(key)).select(key).distinct()
+    kept = keyed.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, key, "left_anti")
+    again = groups.where(F.col("component_id") == F.col(key)).groupBy(key).count().where("count > 1").select(key)
     if not again.isEmpty():
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+        order = Window.partitionBy(key).orderBy(*columns(docs))
+        least = keyed.join(again, key, "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+        kept = kept.join(again, key, "left_anti").unionByName(least)
+    return kept.select(*columns(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; rows are judged one by one, texts whole, an empty table stays empty."""
+    leaks = unused("leaks", docs.columns)
     index = decontaminate.build_index(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontaminate.find_leaks(docs, index, leaks="_leaks").where(F.size("_leaks") == 0).select(*docs.columns)
+    return decontaminate.find_leaks(docs, index, leaks=leaks).where(F.size(leaks) == 0).select(*columns(docs))
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced; n_chars follows the text."""
-    found = pii.find(docs, pii.train(spark), spans="_spans").withColumn("_text", pii.redacted(F.col("text"), F.col("_spans")))
-    changed = {"text": F.col("_text"), "n_chars": F.when(F.size("_spans") > 0, F.char_length("_text").cast("long")).otherwise(F.col("n_chars"))}
-    return found.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    """All documents, personal data in their texts replaced; n_chars follows a text that changes.
+
+    Rows are redacted one by one, so repeated rows stay alike; an empty table stays empty.
+    """
+    spans, text = unused("spans", docs.columns), unused("text", docs.columns)
+    found = pii.find(docs, pii.train(spark), spans=spans).withColumn(text, pii.redacted(F.col("text"), F.col(spans)))
+    changed = {"text": F.col(text), "n_chars": F.when(F.size(spans) > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))}
+    return found.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
