@@ -37,14 +37,26 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def pixel_of(points: DataFrame, meta: DataFrame, lon: str = "lon", lat: str = "lat", crs: str = "EPSG:4326", place: Callable[[Column], Column] = F.floor) -> DataFrame:
-    """Points with each raster's meta columns and the pixel (row, col) they fall on."""
-    placed = points.withColumn("_xy", projected(F.col(lon), F.col(lat), crs))
+#: Each raster in the system that its meta row names.
+OWN_CRS = None
+
+
+def pixel_of(points: DataFrame, meta: DataFrame, lon: str = "lon", lat: str = "lat", crs: str | None = OWN_CRS, place: Callable[[Column], Column] = F.floor) -> DataFrame:
+    """Points with each raster's meta columns and the pixel (row, col) they fall on.
+
+    Each raster is met in its own reference system, the ``crs`` of its meta row;
+    without that column, or with ``crs`` given, in one for all.
+    """
+    own = crs is None and "crs" in meta.columns
+    systems = [r.crs for r in meta.select("crs").distinct().collect()] if own else [crs or "EPSG:4326"]  # a handful of codes
+    placed = points.withColumn("_all", F.array(*[projected(F.col(lon), F.col(lat), c or "EPSG:4326") for c in systems]))
     both = placed.crossJoin(_small(meta))  # meta has one row per raster and band, points one per station: the result is wanted whole
+    number = F.array_position(F.array(*[F.coalesce(F.lit(c), F.lit("")) for c in systems]), F.coalesce("crs", F.lit(""))).cast("int") if own else F.lit(1)
+    both = both.withColumn("_xy", F.try_element_at("_all", number)).drop("_all")
     return both.withColumns({"col": place((F.col("_xy.x") - F.col("x0")) / F.col("dx")).cast("int"), "row": place((F.col("_xy.y") - F.col("y0")) / F.col("dy")).cast("int")}).drop("_xy")
 
 
-def sample(points: DataFrame, meta: DataFrame, tiles: DataFrame, *, key: str = "name", lon: str = "lon", lat: str = "lat", crs: str = "EPSG:4326", tile_size: TileSize = TILE_SIZE, keep_nodata: bool = False) -> DataFrame:
+def sample(points: DataFrame, meta: DataFrame, tiles: DataFrame, *, key: str = "name", lon: str = "lon", lat: str = "lat", crs: str | None = OWN_CRS, tile_size: TileSize = TILE_SIZE, keep_nodata: bool = False) -> DataFrame:
     """(key, raster_id, band, value) of the pixel under each point, NULL outside and for nodata."""
     th, tw = _shape(tile_size)
     at = pixel_of(points, meta, lon, lat, crs)
@@ -82,7 +94,7 @@ def raster_slice(cells: DataFrame, rows: slice | int | None = None, cols: slice
     return cells if bands is None else cells.where(F.col("band").isin(bands))
 
 
-def window(points: DataFrame, meta: DataFrame, tiles: DataFrame, *, buffer_pixels: int = 0, key: str = "name", lon: str = "lon", lat: str = "lat", crs: str = "EPSG:4326", tile_size: TileSize = TILE_SIZE, place: Callable[[Column], Column] = F.rint) -> DataFrame:
+def window(points: DataFrame, meta: DataFrame, tiles: DataFrame, *, buffer_pixels: int = 0, key: str = "name", lon: str = "lon", lat: str = "lat", crs: str | None = OWN_CRS, tile_size: TileSize = TILE_SIZE, place: Callable[[Column], Column] = F.rint) -> DataFrame:
     """(key, raster_id, band, row, col, value) of the pixels about each point, clipped to the raster."""
     th, tw = _shape(tile_size)
     at = pixel_of(points, meta, lon, lat, crs, place)
@@ -96,7 +108,7 @@ def window(points: DataFrame, meta: DataFrame, tiles: DataFrame, *, buffer_pixel
     return joined.select(key, "raster_id", "band", F.col("_r").alias("row"), F.col("_c").alias("col"), masked(value, F.col("nodata")).alias("value"))
 
 
-def insar_samples(points: DataFrame, meta: DataFrame, tiles: DataFrame, dates: DataFrame, *, quality: dict[str, tuple[DataFrame, DataFrame]] | None = None, crs: str = "EPSG:4326", tile_size: TileSize = TILE_SIZE) -> DataFrame:
+def insar_samples(points: DataFrame, meta: DataFrame, tiles: DataFrame, dates: DataFrame, *, quality: dict[str, tuple[DataFrame, DataFrame]] | None = None, crs: str | None = OWN_CRS, tile_size: TileSize = TILE_SIZE) -> DataFrame:
     """(station, date, los_insar, similarity, temporal_coherence): displacements in metres, quality where given.
 
     ``dates`` has (raster_id, sec_date).  The units of the first raster by id hold for all.
@@ -114,7 +126,7 @@ def insar_samples(points: DataFrame, meta: DataFrame, tiles: DataFrame, dates: D
     return out
 
 
-def los_vectors(points: DataFrame, meta: DataFrame, tiles: DataFrame, *, crs: str = "EPSG:4326", tile_size: TileSize = TILE_SIZE) -> DataFrame:
+def los_vectors(points: DataFrame, meta: DataFrame, tiles: DataFrame, *, crs: str | None = OWN_CRS, tile_size: TileSize = TILE_SIZE) -> DataFrame:
     """(station, e, n, u) from a raster of three bands."""
     values = sample(points, meta, tiles, crs=crs, tile_size=tile_size)
     bands = {c: F.max(F.when(F.col("band") == k, F.col("value"))).alias(c) for k, c in enumerate("enu", 1)}

@@ -21,8 +21,17 @@ def in_bounds(points: DataFrame, meta: DataFrame, crs: str = "EPSG:4326", lon: s
     boxes = meta.select("raster_id", F.least("x0", x_end).alias("left"), F.greatest("x0", x_end).alias("right"), F.least("y0", y_end).alias("bottom"), F.greatest("y0", y_end).alias("top"))
     placed = points.withColumn("_xy", projected(F.col(lon), F.col(lat), crs))
     inside = (F.col("_xy.x") > F.col("left")) & (F.col("_xy.x") < F.col("right")) & (F.col("_xy.y") > F.col("bottom")) & (F.col("_xy.y") < F.col("top"))
-    small = boxes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return placed.join(F.broadcast(boxes) if small else boxes, inside).select(*points.columns, "raster_id")
+    if boxes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return placed.join(F.broadcast(boxes), inside).select(*points.columns, "raster_id")
+    # cells of the footprints' median size: a point meets the footprints of its own cell
+    edge = boxes.agg(F.median(F.col("right") - F.col("left")).alias("w"), F.median(F.col("top") - F.col("bottom")).alias("h")).first()
+
+    def cell(value: str | Column, side: float) -> Column:
+        return F.floor((F.col(value) if isinstance(value, str) else value) / F.lit(max(side, 1e-9)))
+
+    spread = boxes.withColumn("_cx", F.explode(F.sequence(cell("left", edge.w), cell("right", edge.w)))).withColumn("_cy", F.explode(F.sequence(cell("bottom", edge.h), cell("top", edge.h))))
+    met = placed.withColumns({"_cx": cell(F.col("_xy.x"), edge.w), "_cy": cell(F.col("_xy.y"), edge.h)})
+    return met.join(spread, ["_cx", "_cy"]).where(inside).select(*points.columns, "raster_id")
 
 
 def close_to(value: Column, target: float, relative: float = 1e-5, absolute: float = 1e-8) -> Column:

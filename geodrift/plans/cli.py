@@ -30,8 +30,9 @@ def parser() -> argparse.ArgumentParser:
     c = commands.add_parser("compare", help="GPS against InSAR")
     c.add_argument("--timeseries-files", nargs="+", required=True)
     c.add_argument("--los-enu-file", required=True)
-    c.add_argument("--catalogue", required=True)
-    c.add_argument("--series", nargs="+", required=True)
+    c.add_argument("--catalogue", help="downloaded to the cache if not given")
+    c.add_argument("--series", nargs="+", help="downloaded to the cache if not given")
+    c.add_argument("--cache")
     c.add_argument("--output-dir", default="GPS")
     c.add_argument("--file-date-fmt", default="%Y%m%d")
     for name in ("--reference-station", "--temporal-coherence-file", "--similarity-file"):
@@ -49,7 +50,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, fetch
     if given.command == "compare":
         pattern, form = date_format(given.file_date_fmt)
         options = {k: v for k, v in vars(given).items() if k not in ("command", "file_date_fmt")}
-        compare(spark, **options, date_pattern=pattern, date_format=form)
+        compare(spark, **options, fetcher=fetcher, date_pattern=pattern, date_format=form)
         return
     lookup = fetch.download_lookup(given.data_dir, fetcher)
     fetch.download_grid(given.data_dir, workers=given.max_workers, fetcher=fetcher)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import warnings
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
@@ -26,7 +28,9 @@ def http(url: str) -> bytes:
 
 
 def cache_dir(app: str = "geodrift") -> Path:
-    """Folder for downloads: the XDG cache folder or ~/.cache; it is not created here."""
+    """Folder for downloads: the XDG cache folder, or ~/Library/Caches on a Mac and ~/.cache elsewhere; it is not created here."""
+    if sys.platform == "darwin" and not os.environ.get("XDG_CACHE_HOME"):
+        return Path.home() / "Library" / "Caches" / app
     return Path(os.environ.get("XDG_CACHE_HOME") or Path.home() / ".cache") / app
 
 
@@ -65,6 +69,22 @@ def download_series(station: str, folder: Path, coords: str = "enu", plate_fixed
     return _save(url, Path(folder) / (f"{name}_{plate}.tenv3" if plate else url.rsplit("/", 1)[1]), fetcher)
 
 
+def download_all_series(stations: Iterable[str], folder: Path, workers: int = 5, fetcher: Fetcher = http) -> tuple[list[str], list[str]]:
+    """(files, stations whose file could not be had); files that are there are kept, each failure is warned of."""
+
+    def one(name: str) -> tuple[str, str | None]:
+        there = Path(folder) / series_url(name).rsplit("/", 1)[1]
+        try:
+            return name, str(there if there.exists() else download_series(name, folder, fetcher=fetcher))
+        except (OSError, ValueError) as fault:
+            warnings.warn(f"station {name} is skipped: {fault}", stacklevel=2)
+            return name, None
+
+    with ThreadPoolExecutor(workers) as pool:
+        found = list(pool.map(one, stations))
+    return [path for _, path in found if path], [name for name, path in found if not path]
+
+
 def download_catalogue(path: Path, fetcher: Fetcher = http) -> Path:
     return _save(CATALOGUE_URL, Path(path), fetcher)
 

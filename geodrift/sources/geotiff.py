@@ -1,8 +1,9 @@
-"""Baseline GeoTIFF files as raster tables.
+"""GeoTIFF files as raster tables.
 
 Files are read by Spark as binaries and cut into tiles on the executors, one task
-per group of files.  Supported: one image per file, strips or tiles, chunky or
-planar samples, no compression or deflate, integers and floats.
+per group of files; ``meta`` reads directories alone.  Supported: classic and big
+files, the first image of a file, strips or tiles, chunky or planar samples, no
+compression, deflate or LZW, horizontal and float predictors, integers and floats.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from geodrift.operators.raster import TILE_SIZE
 from geodrift.schemas import RASTER_META, RASTER_TILES
 
 #: Fixed TIFF values: field types by number, and tag numbers.
-TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
+TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q"}
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 284, 317, 322, 323, 324, 325, 339
 PIXEL_SCALE, TIE_POINT, GEO_KEYS, GDAL_METADATA, GDAL_NODATA = 33550, 33922, 34735, 42112, 42113
@@ -31,21 +32,80 @@ KINDS = {1: "u", 2: "i", 3: "f"}
 def tags_of(data: bytes) -> tuple[str, dict[int, tuple]]:
     """Byte order and the fields of the first directory."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
-        raise ValueError("not a baseline TIFF file")
-    at = struct.unpack(order + "I", data[4:8])[0]
+    magic = struct.unpack(order + "H", data[2:4])[0] if order else None
+    if magic not in (42, 43):
+        raise ValueError("not a TIFF file")
+    # a big file has wider offsets and counts, all else is alike
+    head, count_of, offset, width = ("H", "HHI", "I", 4) if magic == 42 else ("Q", "HHQ", "Q", 8)
+    first = struct.calcsize("=" + head)
+    size = struct.calcsize("=" + count_of) + width
+    at = struct.unpack_from(order + offset, data, 4 if magic == 42 else 8)[0]
     fields = {}
-    for k in range(struct.unpack(order + "H", data[at : at + 2])[0]):
-        entry = data[at + 2 + 12 * k : at + 14 + 12 * k]
-        tag, kind, count = struct.unpack(order + "HHI", entry[:8])
+    for k in range(struct.unpack_from(order + head, data, at)[0]):
+        place = at + first + size * k
+        tag, kind, count = struct.unpack_from(order + count_of, data, place)
         if kind not in TYPES:
             continue
-        size = struct.calcsize(TYPES[kind]) * count
-        raw = entry[8 : 8 + size] if size <= 4 else data[(p := struct.unpack(order + "I", entry[8:12])[0]) : p + size]
+        held = struct.calcsize("=" + TYPES[kind]) * count
+        start = place + size - width
+        if held > width:
+            start = struct.unpack_from(order + offset, data, start)[0]
+        raw = data[start : start + held]
         fields[tag] = (raw.rstrip(b"\0").decode("latin-1"),) if kind == 2 else struct.unpack(f"{order}{count}{TYPES[kind]}", raw)
     return order, fields
 
 
+def meta_of(fields: dict[int, tuple]) -> dict:
+    """Place, shape, nodata, units and reference system by the directory alone."""
+    scale, tie = fields.get(PIXEL_SCALE, (1.0, 1.0)), fields.get(TIE_POINT, (0, 0, 0, 0.0, 0.0, 0.0))
+    keys = fields.get(GEO_KEYS, ())
+    codes = {keys[i]: keys[i + 3] for i in range(4, len(keys) - 3, 4)}
+    units = re.search(r'role="unittype"[^>]*>([^<]*)<|name="UNITS"[^>]*>([^<]*)<', fields.get(GDAL_METADATA, ("",))[0] or "", re.I)
+    nodata = fields.get(GDAL_NODATA, ("",))[0]
+    return {
+        "x0": tie[3] - tie[0] * scale[0], "dx": scale[0], "y0": tie[4] + tie[1] * scale[1], "dy": -scale[1], "height": fields[HEIGHT][0], "width": fields[WIDTH][0],
+        "nodata": float(nodata) if nodata not in (None, "") else None, "units": (units[1] or units[2]) if units else None, "crs": f"EPSG:{codes.get(3072) or codes.get(2048) or 4326}",
+    }
+
+
+def lzw(data: bytes) -> bytes:
+    """Bytes of an LZW stream: codes of 9 to 12 bits from the highest bit on, 256 starts anew and 257 ends."""
+    out, table, last, bits = [], [], b"", 9
+    value = held = 0
+    for byte in data:
+        value, held = value << 8 | byte, held + 8
+        if held < bits:
+            continue
+        held -= bits
+        code, value = value >> held, value & ((1 << held) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, last, bits = [bytes([k]) for k in range(256)] + [b"", b""], b"", 9
+            continue
+        word = table[code] if code < len(table) else last + last[:1]
+        if last:
+            table.append(last + word[:1])
+        out.append(word)
+        last = word
+        bits = max(9, min(12, (len(table) + 1).bit_length()))
+    return b"".join(out)
+
+
+def _unpredicted(raw: bytes, kind: np.dtype, predictor: int, width: int, samples: int) -> np.ndarray:
+    """Samples of a block, rows × width × samples, without its predictor."""
+    if predictor == 3:  # bytes of a row by significance, highest first, as differences
+        lines = np.frombuffer(raw, np.uint8)
+        lines = lines[: len(lines) // (width * samples * kind.itemsize) * width * samples * kind.itemsize].reshape(-1, width * kind.itemsize, samples)
+        planes = np.cumsum(lines, axis=1, dtype=np.uint8).reshape(len(lines), kind.itemsize, width * samples)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(-1, width, samples)
+    cells = np.frombuffer(raw, kind)
+    cells = cells[: len(cells) // (width * samples) * width * samples].reshape(-1, width, samples)
+    if predictor == 2:
+        return np.cumsum(cells.astype(kind.newbyteorder("=")), axis=1, dtype=kind.newbyteorder("="))
+    return cells
+
+
 def read_tiff(data: bytes) -> tuple[dict, np.ndarray]:
     """(meta, array of bands × rows × columns as doubles)."""
     order, f = tags_of(data)
@@ -54,8 +114,9 @@ def read_tiff(data: bytes) -> tuple[dict, np.ndarray]:
         return f[tag][0] if tag in f else default
 
     width, height, n = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-    if one(COMPRESSION, 1) not in (1, 8, 32946) or one(PREDICTOR, 1) != 1:
-        raise ValueError("only uncompressed and deflate files without predictor are read")
+    unpack = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 5: lzw}.get(one(COMPRESSION, 1))
+    if unpack is None or one(PREDICTOR, 1) not in (1, 2, 3):
+        raise ValueError("only uncompressed, deflate and LZW files are read")
     kind = np.dtype(f"{order}{KINDS[one(FORMAT, 1)]}{one(BITS, 8) // 8}")
     tiled = TILE_OFFSETS in f
     offsets, counts = (f[TILE_OFFSETS], f[TILE_COUNTS]) if tiled else (f[STRIP_OFFSETS], f[STRIP_COUNTS])
@@ -64,27 +125,15 @@ def read_tiff(data: bytes) -> tuple[dict, np.ndarray]:
     across, down = -(-width // block_w), -(-height // block_h)
     out = np.zeros((n, height, width))
     for k, (offset, count) in enumerate(zip(offsets, counts)):
-        raw = data[offset : offset + count]
-        raw = raw if one(COMPRESSION, 1) == 1 else zlib.decompress(raw)
         band, place = divmod(k, across * down) if planar else (None, k)
         top, left = place // across * block_h, place % across * block_w
-        rows = block_h if tiled else min(block_h, height - top)
-        block = np.frombuffer(raw, kind)[: rows * block_w * (1 if planar else n)].reshape(rows, block_w, -1).astype(float)
-        part = block[: height - top, : width - left]
+        block = _unpredicted(unpack(data[offset : offset + count]), kind, one(PREDICTOR, 1), block_w, 1 if planar else n).astype(float)
+        part = block[: min(block_h, height - top), : width - left]
         if planar:
             out[band, top : top + part.shape[0], left : left + part.shape[1]] = part[:, :, 0]
         else:
             out[:, top : top + part.shape[0], left : left + part.shape[1]] = np.moveaxis(part, 2, 0)
-    scale, tie = f.get(PIXEL_SCALE, (1.0, 1.0)), f.get(TIE_POINT, (0, 0, 0, 0.0, 0.0, 0.0))
-    keys = f.get(GEO_KEYS, ())
-    codes = {keys[i]: keys[i + 3] for i in range(4, len(keys) - 3, 4)}
-    units = re.search(r'role="unittype"[^>]*>([^<]*)<|name="UNITS"[^>]*>([^<]*)<', one(GDAL_METADATA, "") or "", re.I)
-    nodata = one(GDAL_NODATA)
-    meta = {
-        "x0": tie[3] - tie[0] * scale[0], "dx": scale[0], "y0": tie[4] + tie[1] * scale[1], "dy": -scale[1], "height": height, "width": width,
-        "nodata": float(nodata) if nodata not in (None, "") else None, "units": (units[1] or units[2]) if units else None, "crs": f"EPSG:{codes.get(3072) or codes.get(2048) or 4326}",
-    }
-    return meta, out
+    return meta_of(f), out
 
 
 def _name(path: str) -> str:
@@ -99,9 +148,10 @@ def read_rasters(spark: SparkSession, path: str | list[str], *, nodata: float |
         for batch in batches:
             rows = []
             for name, content in zip(batch["path"], batch["content"]):
-                found, bands = read_tiff(bytes(content))
+                _, fields = tags_of(bytes(content))
+                found = meta_of(fields)
                 found["nodata"] = found["nodata"] if nodata is None else nodata
-                rows += [{"raster_id": _name(name), "path": name, "band": b + 1} | found for b in range(len(bands))]
+                rows += [{"raster_id": _name(name), "path": name, "band": b + 1} | found for b in range(fields.get(SAMPLES, (1,))[0])]
             yield pd.DataFrame(rows, columns=["raster_id", "path", "band", "x0", "dx", "y0", "dy", "height", "width", "nodata", "units", "crs"])
 
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

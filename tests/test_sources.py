@@ -205,3 +205,104 @@ def test_series_small(spark):
     assert series.excluded(df.withColumnRenamed("station", "name"), "A").count() == 0
     with pytest.raises(ValueError):
         series.zeroed(df, ("value",), "middle")
+
+
+def packed_lzw(data):
+    """An LZW stream of single bytes: the table is started anew before it grows past nine bits."""
+    codes, n = [], 0
+    for byte in data:
+        if n % 200 == 0:
+            codes.append(256)
+        codes.append(byte)
+        n += 1
+    bits = "".join(f"{c:09b}" for c in [*codes, 257])
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8))
+
+
+def test_lzw():
+    raw = bytes(range(256)) * 3
+    assert geotiff.lzw(packed_lzw(raw)) == raw
+    # codes of the published example "7 7 7 8 8 7 7 6 6": 256 7 258 8 8 258 6 6 257
+    bits = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    bits += "0" * (-len(bits) % 8)
+    assert geotiff.lzw(bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8))) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+
+
+def test_predictors():
+    r = np.random.default_rng(2)
+    whole = r.integers(0, 60000, (4, 9, 2)).astype("<u2")
+    differences = np.diff(whole, axis=1, prepend=np.zeros((4, 1, 2), "<u2")).astype("<u2")
+    assert np.array_equal(geotiff._unpredicted(differences.tobytes(), np.dtype("<u2"), 2, 9, 2), whole)
+    floats = r.normal(size=(4, 9, 1)).astype("<f4")
+    planes = floats.astype(">f4").view(np.uint8).reshape(4, 9, 4).transpose(0, 2, 1).reshape(4, 36)
+    coded = np.diff(planes, axis=1, prepend=np.zeros((4, 1), np.uint8)).astype(np.uint8)
+    assert np.array_equal(geotiff._unpredicted(coded.tobytes(), np.dtype("<f4"), 3, 9, 1), floats)
+
+
+def test_big_tiff():
+    fields = [(256, 4, [3]), (257, 4, [2]), (258, 3, [8]), (259, 3, [1]), (273, 16, [16 + 8 + 20 * 7 + 8]), (277, 3, [1]), (279, 16, [6])]
+    code = {3: "H", 4: "I", 16: "Q"}
+    entries = b"".join(struct.pack("<HHQ", tag, kind, len(v)) + struct.pack(f"<{len(v)}{code[kind]}", *v).ljust(8, b"\0") for tag, kind, v in fields)
+    data = b"II" + struct.pack("<HHHQ", 43, 8, 0, 16) + struct.pack("<Q", len(fields)) + entries + struct.pack("<Q", 0) + bytes(range(6))
+    meta, bands = geotiff.read_tiff(data)
+    assert bands.tolist() == [[[0, 1, 2], [3, 4, 5]]] and (meta["height"], meta["width"]) == (2, 3)
+
+
+def test_each_raster_in_its_own_system(spark):
+    from geodrift.functions.geodesy import projected
+
+    points = spark.createDataFrame([("a", 3.1, 0.55), ("b", 2.9, 0.45)], "name string, lon double, lat double")
+    utm = {r.name: r.xy for r in points.select("name", projected(F.col("lon"), F.col("lat"), "EPSG:32631").alias("xy")).collect()}
+    left, top = utm["b"].x - 100, utm["a"].y + 100
+    meta = spark.createDataFrame(
+        [("degrees", "p", 1, 2.0, 0.5, 1.0, -0.5, 4, 4, None, None, "EPSG:4326"), ("metres", "q", 1, left, 10000.0, top, -10000.0, 4, 4, None, None, "EPSG:32631")],
+        "raster_id string, path string, band int, x0 double, dx double, y0 double, dy double, height int, width int, nodata double, units string, crs string",
+    )
+    tiles = spark.createDataFrame([(k, 1, 0, 0, [float(x) for x in range(16)]) for k in ("degrees", "metres")], "raster_id string, band int, tile_row int, tile_col int, values array<double>")
+    got = {(r.name, r.raster_id): r.value for r in raster.sample(points, meta, tiles).collect()}
+    place = {n: int((xy.y - top) / -10000) * 4 + int((xy.x - left) / 10000) for n, xy in utm.items()}
+    assert got == {("a", "degrees"): 2.0, ("b", "degrees"): 5.0, ("a", "metres"): place["a"], ("b", "metres"): place["b"]}
+
+
+def test_bounds_by_cells(spark, monkeypatch):
+    from geodrift.operators import spatial
+
+    meta = spark.createDataFrame([(f"r{k}", k * 1.5, 0.5, 10.0 + k, -0.25, 8, 6 + k) for k in range(12)], "raster_id string, x0 double, dx double, y0 double, dy double, height int, width int")
+    points = spark.createDataFrame([(f"p{i}", (i * 37 % 200) / 10 - 1, 7 + (i * 53 % 150) / 10) for i in range(200)], "name string, lon double, lat double")
+    want = sorted(map(tuple, spatial.in_bounds(points, meta).collect()))
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 3)
+    assert sorted(map(tuple, spatial.in_bounds(points, meta).collect())) == want and len(want) > 50
+
+
+def test_comparison_downloads_what_it_lacks(spark, tmp_path):
+    for k in range(1, 4):
+        (tmp_path / f"20200101_2020{k + 1:02d}01.tif").write_bytes(tiff(np.full((1, 40, 40), float(k)), units="radians"))
+    (tmp_path / "los.tiff").write_bytes(tiff(np.stack([np.full((40, 40), v) for v in (0.5, 0.25, 0.8)])))
+    days = [f"20{m}{d:02d}" for m in ("JAN", "FEB", "MAR") for d in (1, 2)]
+
+    def fetcher(url):
+        if url == fetch.CATALOGUE_URL:
+            return b"AAAA 35 -5 1\nBBBB 36 -4 1\nGONE 35 -6 1\n"
+        name = url.rsplit("/", 1)[1][:4]
+        if name == "GONE":
+            raise OSError("not found")
+        return "\n".join([HEAD, *[line(name, d, k, 2 * k, 0) for k, d in enumerate(days)]]).encode()
+
+    with pytest.warns(UserWarning, match="GONE is skipped"):
+        out = compare(spark, timeseries_files=str(tmp_path / "2020*.tif"), los_enu_file=str(tmp_path / "los.tiff"), cache=str(tmp_path / "cache"), fetcher=fetcher, reference_station="AAAA")
+    assert {r.station for r in out["combined"].collect()} == {"AAAA", "BBBB"}
+    assert [r.name for r in out["failed"].collect()] == ["GONE"] == [r.name for r in out["missing"].collect()] and out["without_overlap"].count() == 0
+
+
+def test_registered_functions_and_views(spark):
+    from geodrift.functions.registered import create_views, register_functions
+
+    register_functions(spark)
+    t = [0, 365, 400, 765, 1200]
+    y = [0.0, 0.010, 0.013, 0.024, 0.030]
+    series_table = spark.createDataFrame([("a", [x / 365.25 for x in t], y), ("b", None, None), ("c", [0.0], [1.0])], "station string, years array<double>, series array<double>")
+    create_views(station_series=series_table)
+    rows = {r.station: r for r in spark.sql("SELECT station, midas(years, series) AS m, tsia(years, series) AS s, robust_fit(years, series) AS l FROM station_series").collect()}
+    assert rows["a"].m.velocity == pytest.approx(0.011007534246575341) and rows["a"].s.slope == pytest.approx(2.8767123287671234e-05 * 365.25)
+    assert rows["a"].l.slope is not None and rows["b"].m.velocity is None and rows["c"].l.slope is None
