@@ -110,4 +110,34 @@ SELECT s.doc_id, s.n AS n_shingles, (SELECT min(y) FROM reach r WHERE r.x = s.do
 FROM same s
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL}
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_BLANK = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_FURNITURE = "|".join(x.replace("'", "''") for x in quality_rules.PHRASES)
+
+OP4_SQL = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT doc_id, text, regexp_extract_all(text, {_WORD}) AS w, string_split(text, chr(10)) AS l FROM texts),
+grams AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM split)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
+repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice CROSS JOIN (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS place FROM split),
+counted AS (
+  SELECT doc_id, line, place, regexp_extract_all(line, {_WORD}) AS w, len(regexp_extract_all(line, '[|»]')) AS s,
+    len(regexp_extract_all(line, '[#*$%&|<>]')) AS m, length(regexp_replace(line, '^{_BLANK}+|{_BLANK}+$', '', 'g')) AS n FROM lines
+), judged AS (
+  SELECT doc_id, line, place, len(w) AS words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS chars,
+    len(w) > 0 AND (s >= 3 OR (s > 0 AND 2 * s >= len(w)) OR regexp_matches(lower(line), '{_FURNITURE}') OR 10 * m > n
+      OR (len(w) < 4 AND NOT regexp_matches(line, '[.!?…:;,"''”’»)。！？；：]{_BLANK}*$'))) AS failed FROM counted
+), verdicts AS (
+  SELECT doc_id, count(*) FILTER (words > 0) - count(DISTINCT line) FILTER (words > 0) AS n_dup_lines, count(*) FILTER (failed) AS n_failed_lines,
+    coalesce(sum(chars) FILTER (failed), 0) AS lost_chars, sum(chars) AS word_chars, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT failed), '') AS clean FROM judged GROUP BY doc_id
+), base AS (
+  SELECT s.doc_id, len(s.w) AS n_words, v.word_chars, len(regexp_extract_all(s.text, '[#*$%&|<>]')) AS n_symbols, v.n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+    v.n_failed_lines, v.lost_chars, sha256(v.clean) AS clean_sha256 FROM split s JOIN verdicts v USING (doc_id) LEFT JOIN repeats r USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 2 * lost_chars <= word_chars AS kept, n_failed_lines, lost_chars::BIGINT AS lost_chars, clean_sha256
+FROM base
+"""
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op4_quality_rules": OP4_SQL}

@@ -43,3 +43,16 @@ def test_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for r in Q.clean(docs).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == brute(r.text)
+
+
+def test_query_by_sql(spark):
+    """All columns against DuckDB over whole texts."""
+    import duckdb
+
+    from geodrift.llm.queries import ORACLES, QUERIES
+
+    db = duckdb.connect()
+    db.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    found = db.sql(ORACLES["op4_quality_rules"])
+    got = QUERIES["op4_quality_rules"](spark, "/root/testdata/sf0.001")
+    assert got.columns == found.columns and sorted(tuple(r) for r in got.collect()) == sorted(found.fetchall())
