@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geodrift.functions import columns as C
+from geodrift.functions.geodesy import projected
 from geodrift.operators import midas, raster, rates, reshape, robust, series, spatial, trend
 from geodrift.sources import text
 
@@ -195,22 +196,55 @@ def midas_pairs(spark, d):
     return midas.midas_pairs(A.sparse(spark, d))
 
 
-@query("midas_velocity", f"""WITH RECURSIVE {DENSE}, {_midas_cte('dense')},
-v AS (SELECT p.station, (b.y - a.y) / ((b.d - a.d) / 365.25::DOUBLE) AS v FROM pairs p JOIN DENSES a ON a.station = p.station AND a.k = p.first JOIN DENSES b ON b.station = p.station AND b.k = p.second),
+def _rates_cte(source: str) -> str:
+    """Rates from ``pairs``: the median, again without outliers, and the median offset."""
+    epochs = f"{source.upper()}S"
+    return f"""v AS (SELECT p.station, (b.y - a.y) / ((b.d - a.d) / 365.25::DOUBLE) AS v FROM pairs p JOIN {epochs} a ON a.station = p.station AND a.k = p.first JOIN {epochs} b ON b.station = p.station AND b.k = p.second),
 c AS (SELECT station, median(v) AS v50, count(*) AS n FROM v GROUP BY station), s AS (SELECT v.station, 1.4826::DOUBLE * median(abs(v - v50)) AS sd FROM v JOIN c USING (station) GROUP BY v.station),
 k AS (SELECT v.station, v FROM v JOIN c USING (station) JOIN s USING (station) WHERE abs(v - v50) < 2 * sd), f AS (SELECT station, median(v) AS vel, count(*) AS kept FROM k GROUP BY station),
-u AS (SELECT k.station, median(abs(v - vel)) AS d50 FROM k JOIN f USING (station) GROUP BY k.station), o AS (SELECT x.station, median(y - vel * (d / 365.25::DOUBLE)) AS x50 FROM DENSES x JOIN f USING (station) GROUP BY x.station)
-SELECT station, n AS n_pairs, round(vel, 6) AS velocity, round(3 * 1.2533 * 1.4826 * d50 / sqrt(kept / 4.0::DOUBLE), 6) AS velocity_uncertainty, round(x50, 6) AS reference_position, round((n - kept) / n::DOUBLE, 8) AS outlier_fraction, round(sd, 6) AS velocity_scatter
-FROM c JOIN s USING (station) JOIN f USING (station) JOIN u USING (station) JOIN o USING (station)""")
-def midas_velocity(spark, d):
-    found = midas.midas_rates(A.dense(spark, d)).select("station", "n_pairs", "velocity", "velocity_uncertainty", "reference_position", "outlier_fraction", "velocity_scatter")
+u AS (SELECT k.station, median(abs(v - vel)) AS d50 FROM k JOIN f USING (station) GROUP BY k.station), o AS (SELECT x.station, median(y - vel * (d / 365.25::DOUBLE)) AS x50 FROM {epochs} x JOIN f USING (station) GROUP BY x.station)"""
+
+
+MIDAS_COLUMNS = "station, n AS n_pairs, round(vel, 6) AS velocity, round(3 * 1.2533 * 1.4826 * d50 / sqrt(kept / 4.0::DOUBLE), 6) AS velocity_uncertainty, round(x50, 6) AS reference_position, round((n - kept) / n::DOUBLE, 8) AS outlier_fraction, round(sd, 6) AS velocity_scatter"
+MIDAS_TABLES = "c JOIN s USING (station) JOIN f USING (station) JOIN u USING (station) JOIN o USING (station)"
+
+
+def midas_result(found: DataFrame) -> DataFrame:
     return rounded(found, 6, "velocity", "velocity_uncertainty", "reference_position", "velocity_scatter").withColumn("outlier_fraction", F.round("outlier_fraction", 8))
 
 
-@query("midas_steps")
+@query("midas_velocity", f"""WITH RECURSIVE {DENSE}, {_midas_cte('dense')},
+{_rates_cte('dense')}
+SELECT {MIDAS_COLUMNS}
+FROM {MIDAS_TABLES}""")
+def midas_velocity(spark, d):
+    return midas_result(midas.midas_rates(A.dense(spark, d)).select("station", "n_pairs", "velocity", "velocity_uncertainty", "reference_position", "outlier_fraction", "velocity_scatter"))
+
+
+#: Pairs that no step separates, in whole days: epochs before the next step and a year or more from it, first partners before that step.
+STEPPED = """DENSES AS (SELECT station, date_diff('day', min(date) OVER (PARTITION BY station), date) AS d, value AS y, row_number() OVER (PARTITION BY station ORDER BY date) - 1 AS k, count(*) OVER (PARTITION BY station) AS m FROM dense),
+moved AS (SELECT station, date_diff('day', min(date), day) AS jump FROM dense JOIN (VALUES ('ASIA', DATE '1998-01-01'), ('EUROPE', DATE '1997-06-15'), ('EUROPE', DATE '1999-06-15')) given(station, day) USING (station) GROUP BY station, day),
+turned AS (SELECT station, 'forward' AS direction, d AS t, k, m FROM DENSES UNION ALL SELECT station, 'backward', -d, m - 1 - k, m FROM DENSES),
+walls AS (SELECT station, 'forward' AS direction, jump FROM moved UNION ALL SELECT station, 'backward', -jump FROM moved),
+ahead AS (SELECT t.*, min(jump) AS step, max(t.t) OVER (PARTITION BY t.station, t.direction) AS latest FROM turned t LEFT JOIN walls w ON w.station = t.station AND w.direction = t.direction AND w.jump >= t.t GROUP BY t.station, t.direction, t.t, t.k, t.m),
+usable AS (SELECT *, row_number() OVER (PARTITION BY station, direction ORDER BY t) AS place FROM ahead WHERE t <= latest - 365 AND (step IS NULL OR t <= step - 365)),
+reach AS MATERIALIZED (SELECT a.station, a.direction, a.place, a.k AS i, a.m, min(b.k) FILTER (WHERE b.t >= a.t + 365) AS j, min(b.t) FILTER (WHERE b.t >= a.t + 365) - a.t AS gap, coalesce(min(b.k) FILTER (WHERE b.t >= a.step), a.m + 1) AS wall
+  FROM usable a JOIN turned b ON a.station = b.station AND a.direction = b.direction GROUP BY a.station, a.direction, a.place, a.k, a.m, a.t, a.step),
+walk AS (SELECT station, direction, 0::BIGINT AS place, NULL::BIGINT AS i, NULL::BIGINT AS p, 0::BIGINT AS c FROM DENSES, (VALUES ('forward'), ('backward')) v(direction) WHERE k = 0
+  UNION ALL SELECT station, direction, place, i, CASE WHEN barred THEN NULL WHEN gap = 365 THEN j WHEN taken < wall THEN taken END,
+    CASE WHEN barred THEN greatest(c, least(wall, m - 1)) WHEN gap = 365 THEN greatest(c, j) WHEN taken >= wall THEN taken WHEN taken = m - 1 THEN 1 ELSE taken + 1 END
+  FROM (SELECT r.*, w.c, r.j >= least(r.wall, r.m) AS barred, CASE WHEN greatest(w.c, r.j) >= r.wall THEN r.j + 1 ELSE greatest(w.c, r.j) END AS taken
+    FROM walk w JOIN reach r ON r.station = w.station AND r.direction = w.direction AND r.place = w.place + 1)),
+pairs AS (SELECT w.station, w.direction, CASE w.direction WHEN 'forward' THEN i ELSE m - 1 - p END AS first, CASE w.direction WHEN 'forward' THEN p ELSE m - 1 - i END AS second FROM walk w JOIN (SELECT DISTINCT station, m FROM DENSES) USING (station) WHERE p IS NOT NULL)"""
+
+
+@query("midas_steps", f"""WITH RECURSIVE {DENSE}, {STEPPED},
+{_rates_cte('dense')}
+SELECT m.n, {MIDAS_COLUMNS.replace(", n AS", ", c.n AS").replace("(n - kept) / n::", "(c.n - kept) / c.n::")}
+FROM {MIDAS_TABLES} JOIN (SELECT station, count(*) AS n FROM dense GROUP BY station) m USING (station)""")
 def midas_steps(spark, d):
     steps = {"ASIA": ["1998-01-01"], "EUROPE": ["1997-06-15", "1999-06-15"]}
-    return midas.midas_rates(A.dense(spark, d), steps=steps).drop("residuals")
+    return midas_result(midas.midas_rates(A.dense(spark, d), steps=steps).drop("residuals"))
 
 
 #: Suppliers whose line is fitted twice: brute force over point pairs is cubic, so its series are monthly means.
@@ -237,6 +271,97 @@ def station_rates(spark, d):
     return rates.calculate_rates(A.tidy_rows(spark, d))
 
 
+GPS = "gps AS (SELECT station, date, los_gps AS value FROM wide WHERE los_gps IS NOT NULL)"
+FITTED = "CASE WHEN count({0}) > 2 THEN regr_slope({0}, years) * 1000 END"
+FIRST = "CASE WHEN count(los_insar) > 2 THEN arg_min({0}, date) FILTER (WHERE {0} IS NOT NULL) END AS {0}"
+
+
+@query("station_rates_midas", f"""WITH RECURSIVE {TIDY}, {KEPT}, {WIDE.format(source="kept")}, {TIMED}, {GPS}, {_midas_cte('gps')},
+{_rates_cte('gps')},
+least AS (SELECT station, {FITTED.format("los_insar")} AS insar, {FITTED.format("los_gps")} AS gps, {FIRST.format("temporal_coherence")}, {FIRST.format("similarity")}, count(los_gps) AS num_gps_points, max(years) AS span FROM timed GROUP BY station),
+far AS (SELECT c.station, vel, d50, kept, c.n, sd FROM c JOIN s USING (station) LEFT JOIN f USING (station) LEFT JOIN u USING (station))
+SELECT least.station, round(insar, 4) AS insar_velocity_l2, round(temporal_coherence, 6) AS temporal_coherence, round(similarity, 6) AS similarity, num_gps_points, round(span, 8) AS gps_time_span_years, round(gps, 4) AS gps_velocity_l2,
+  CASE WHEN num_gps_points > 2 THEN round(1000 * vel, 7) END AS gps_velocity, CASE WHEN num_gps_points > 2 THEN round(1000 * 3 * 1.2533 * 1.4826 * d50 / sqrt(kept / 4.0::DOUBLE), 7) END AS gps_velocity_uncertainty,
+  CASE WHEN num_gps_points > 2 THEN round((n - kept) / n::DOUBLE, 8) END AS gps_outlier_fraction, CASE WHEN num_gps_points > 2 THEN round(1000 * sd, 7) END AS gps_velocity_scatter
+FROM least LEFT JOIN far USING (station)""")
+def station_rates_midas(spark, d):
+    """``station_rates`` but for the L1 rates, whose brute force in SQL is cubic."""
+    found = rates.calculate_rates(A.tidy_rows(spark, d)).drop("difference", "insar_velocity")
+    found = rounded(rounded(found, 4, "insar_velocity_l2", "gps_velocity_l2"), 7, "gps_velocity", "gps_velocity_uncertainty", "gps_velocity_scatter")
+    return rounded(rounded(found, 6, "temporal_coherence", "similarity"), 8, "gps_time_span_years", "gps_outlier_fraction")
+
+
+@query("extreme_rates", f"""WITH {TIDY}, {KEPT}, {WIDE.format(source="kept")}, {TIMED}, r AS (SELECT station, {FITTED.format("los_gps")} AS g, {FITTED.format("los_insar")} AS i FROM timed GROUP BY station)
+SELECT station, round(g, 4) AS gps_velocity, round(i, 4) AS insar_velocity FROM r WHERE abs(g) > 15 OR abs(i) > 15""")
+def extreme_rates(spark, d):
+    found = rates.calculate_rates_l2(A.tidy_rows(spark, d)).select("station", F.col("gps_velocity_l2").alias("gps_velocity"), F.col("insar_velocity_l2").alias("insar_velocity"))
+    return rounded(rates.extreme_rates(found), 4, "gps_velocity", "insar_velocity")
+
+
+@query("trend_at", f"""WITH {DENSE}, {FIT}, asked AS (SELECT station, date, date_diff('day', min(date) OVER (PARTITION BY station), date) AS t FROM dense WHERE date BETWEEN DATE '1996-03-01' AND DATE '1998-09-02')
+SELECT station, date, round(a * t + b, 6) AS trend FROM asked JOIN fit USING (station)""")
+def trend_at(spark, d):
+    dense = A.dense(spark, d)
+    return rounded(trend.trend_at(trend.line_fit(dense), series.date_range(dense, "1996-03-01", "1998-09-02")), 6, "trend")
+
+
+@query("line_fit_median", f"""WITH {DENSE}, r AS (SELECT station, date_diff('day', min(date) OVER (PARTITION BY station), date) AS t, value AS y FROM dense),
+p AS (SELECT a.station, (b.y - a.y) / (b.t - a.t) AS s FROM r a JOIN r b ON a.station = b.station AND b.t - a.t > 180 AND abs((b.t - a.t + 180) % 365 - 180) < 30), m AS (SELECT station, median(s) AS slope FROM p GROUP BY station)
+SELECT r.station, round(any_value(slope), 8) AS slope, round(median(y - slope * t), 5) AS intercept FROM r JOIN m USING (station) GROUP BY r.station""")
+def line_fit_median(spark, d):
+    return trend.line_fit(A.dense(spark, d), median=True).withColumns({"slope": F.round("slope", 8), "intercept": F.round("intercept", 5)})
+
+
+@query("mad", f"WITH {DENSE} SELECT station, round(mad(value), 6) AS mad FROM dense GROUP BY station")
+def mad(spark, d):
+    return rounded(trend.mad(A.dense(spark, d), "value", "station"), 6, "mad")
+
+
+@query("excluded_stations", f"WITH {DENSE} SELECT station, date, round(value, 6) AS value FROM dense WHERE station NOT IN ('ASIA', 'EUROPE')")
+def excluded_stations(spark, d):
+    return rounded(series.excluded(A.dense(spark, d), ["asia", "Europe"], "station"), 6, "value")
+
+
+def ordered_days(spark, d) -> DataFrame:
+    """(station, date): the days of each customer's orders."""
+    return A.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("station"), F.col("o_orderdate").cast("date").alias("date"))
+
+
+ORDERED = "ordered AS (SELECT CAST(o_custkey AS VARCHAR) AS station, CAST(o_orderdate AS DATE) AS date FROM orders)"
+
+
+@query("stations_without_overlap", f"WITH {ORDERED} SELECT DISTINCT station FROM ordered WHERE station NOT IN (SELECT station FROM ordered WHERE date IN (SELECT date FROM ordered WHERE station = '1'))")
+def stations_without_overlap(spark, d):
+    return reshape.stations_without_overlap(ordered_days(spark, d), reference_station="1")
+
+
+@query("missing_stations", f"WITH {ORDERED} SELECT CAST(c_custkey AS VARCHAR) AS name FROM customer WHERE name NOT IN (SELECT station FROM ordered WHERE date BETWEEN DATE '1996-03-01' AND DATE '1998-09-02')")
+def missing_stations(spark, d):
+    return reshape.missing_stations(A.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("name")), series.date_range(ordered_days(spark, d), "1996-03-01", "1998-09-02"))
+
+
+@query("compact_date", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + to_years(CAST(o_orderkey % 60 AS INTEGER)) AS DATE) AS day FROM orders")
+def compact_date(spark, d):
+    day = F.add_months(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 60 * 12).cast("int"))
+    return A.table(spark, d, "orders").select("o_orderkey", C.compact_date(F.upper(F.date_format(day, "yyMMMdd"))).alias("day"))
+
+
+def dated_files(spark, d) -> DataFrame:
+    """(o_orderkey, path): an interferogram's file per order, all with one reference date."""
+    day = F.col("o_orderdate").cast("date")
+    return A.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("stack/19910101/19910101_"), F.date_format(day, "yyyyMMdd"), F.lit(".unw.tif")).alias("path"))
+
+
+@query("file_dates", "SELECT o_orderkey, DATE '1991-01-01' AS ref_date, CAST(o_orderdate AS DATE) AS sec_date FROM orders")
+def file_dates(spark, d):
+    return text.file_dates(dated_files(spark, d)).select("o_orderkey", "ref_date", "sec_date")
+
+
+@query("analysis_range", "SELECT DATE '1991-01-01' AS first_date, CAST(max(o_orderdate) AS DATE) AS last_date FROM orders")
+def analysis_range(spark, d):
+    return spark.createDataFrame([text.analysis_range(text.file_dates(dated_files(spark, d)))], "first_date date, last_date date")
+
+
 @query("stations_in_bounds", f"WITH {STATIONS} SELECT name, lon, lat, CAST(label AS VARCHAR) AS raster_id FROM stations, (SELECT DISTINCT label FROM embeddings), (SELECT max(vec_id) + 1 AS h FROM embeddings) WHERE lon > 0 AND lon < 64 AND lat > 0 AND lat < h")
 def stations_in_bounds(spark, d):
     return spatial.in_bounds(A.stations(spark, d), A.raster(spark, d)[0])
@@ -293,11 +418,35 @@ def frame_overlap(spark, d):
     return spatial.frame_overlap(A.stations(spark, d), A.frames(spark, d), cell_degrees=10.0)
 
 
-@query("station_distance")
+#: Vincenty's inverse formula on WGS84, sixty steps of the longitude, far more than such pairs need.
+GEODESIC = """ends AS (SELECT a.name AS name1, b.name AS name2, a.lon AS lon1, a.lat / 6 AS lat1, b.lon AS lon2, b.lat / 6 AS lat2 FROM stations a JOIN stations b ON CAST(b.name AS BIGINT) = CAST(a.name AS BIGINT) % (SELECT count(*) FROM stations) + 1),
+reduced AS (SELECT name1, name2, atan((1 - f) * tan(radians(lat1))) AS u1, atan((1 - f) * tan(radians(lat2))) AS u2, radians(lon2 - lon1) AS l, f FROM ends, (SELECT 1 / 298.257223563::DOUBLE AS f)),
+step AS (SELECT name1, name2, u1, u2, l, f, l AS lam, 0 AS n FROM reduced
+  UNION ALL SELECT name1, name2, u1, u2, l, f, l + (1 - c) * f * sa * (sigma + c * ss * (mid + c * cs * (2 * mid * mid - 1))), n + 1
+  FROM (SELECT *, f / 16 * ca * (4 + f * (4 - 3 * ca)) AS c FROM (SELECT *, CASE WHEN ca > 1e-15 THEN cs - 2 * sin(u1) * sin(u2) / ca ELSE 0 END AS mid FROM (SELECT *, 1 - sa * sa AS ca FROM (SELECT *, atan2(ss, cs) AS sigma, CASE WHEN ss > 0 THEN cos(u1) * cos(u2) * sin(lam) / ss ELSE 0 END AS sa
+    FROM (SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM step WHERE n < 60)))))),
+settled AS (SELECT *, atan2(ss, cs) AS sigma, CASE WHEN ss > 0 THEN cos(u1) * cos(u2) * sin(lam) / ss ELSE 0 END AS sa FROM (SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM step WHERE n = 60)),
+coefficients AS (SELECT *, CASE WHEN 1 - sa * sa > 1e-15 THEN cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) ELSE 0 END AS mid, (1 - sa * sa) * (1 / pow(1 - f, 2) - 1) AS g FROM settled),
+series AS (SELECT *, 1 + g / 16384 * (4096 + g * (g * (320 - 175 * g) - 768)) AS a, g / 1024 * (256 + g * (g * (74 - 47 * g) - 128)) AS b FROM coefficients)"""
+
+
+@query("station_distance", f"""WITH RECURSIVE {STATIONS}, {GEODESIC}
+SELECT name1, name2, round(6378137 * (1 - f) * a * (sigma - b * ss * (mid + b / 4 * (cs * (2 * mid * mid - 1) - b / 6 * mid * (4 * ss * ss - 3) * (4 * mid * mid - 3)))), 3) AS metres FROM series""")
 def station_distance(spark, d):
     places = A.stations(spark, d).select("name", "lon", (F.col("lat") / 6).alias("lat"))
     pairs = places.select(F.col("name").alias("name1"), ((F.col("name").cast("int") % places.count()) + 1).cast("string").alias("name2"))
-    return spatial.station_pairs_distance(pairs, places)
+    return rounded(spatial.station_pairs_distance(pairs, places), 3, "metres")
+
+
+@query("mercator", f"WITH {STATIONS} SELECT name, round(6378137 * radians(lon), 4) AS x, round(6378137 * atanh(sin(radians(lat / 6))), 4) AS y FROM stations")
+def mercator(spark, d):
+    xy = projected(F.col("lon"), F.col("lat") / 6, "EPSG:3857")
+    return A.stations(spark, d).withColumn("xy", xy).select("name", F.round("xy.x", 4).alias("x"), F.round("xy.y", 4).alias("y"))
+
+
+@query("station_lookup", f"WITH {STATIONS} SELECT lon, lat FROM stations WHERE name = '7'")
+def station_lookup(spark, d):
+    return spark.createDataFrame([spatial.station_lon_lat(A.stations(spark, d), "7")], "lon double, lat double")
 
 
 @query("distinct_files", "SELECT DISTINCT lpad(CAST(c_nationkey AS VARCHAR), 6, '0') || '_IGS14.tenv8' AS file FROM customer")
