@@ -58,126 +58,127 @@ CONTEXT_WORDS = {
 FEATURES = ("kind", "length", "digits", "letters", "upper", "marks", "distinct", "luhn", "quoted", "hex", *CONTEXT_WORDS)
 
 
-def _digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+# Expressions are put together as SQL text and parsed once: built call by call, these would
+# take tens of thousands of round trips to the JVM.  Values passed along are SQL themselves.
 
 
-def luhn(digits: Column) -> Column:
-    """Whether a string of digits passes the check sum (short strings only: it is walked by character)."""
-    n = F.length(digits)
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        F.lit(0),
-        lambda acc, i: acc + F.coalesce((lambda d: F.when((n - i) % 2 == 1, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d))(F.try_to_number(F.substr(digits, i, F.lit(1)), F.lit("9")).cast("int")), F.lit(0)),
-    )
-    return (n > 0) & (total % 10 == 0)
+def _quoted(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with a value of this name that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _digits(value: str) -> str:
+    return f"regexp_replace({value}, '[^0-9]', '')"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once: a lambda computes what it mentions anew at each call."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def luhn(digits: str) -> str:
+    """Whether a string of digits passes the check sum (short strings only: it is walked by character)."""
+    digit = "cast(try_to_number(substr(ds, i, 1), '9') AS int)"
+    doubled = f"CASE WHEN {digit} > 4 THEN {digit} * 2 - 9 ELSE {digit} * 2 END"
+    total = f"aggregate(sequence(1, greatest(length(ds), 1)), 0, (acc, i) -> acc + coalesce(CASE WHEN (length(ds) - i) % 2 = 1 THEN {doubled} ELSE {digit} END, 0))"
+    return _let(digits, "ds", f"length(ds) > 0 AND {total} % 10 = 0")
 
 
 #: Elements that one step of a scan holds: an array that grows is copied at each append.
 SCAN_BLOCK = 64
 
 
-def _blocks(items: Column) -> Column:
+def _blocks(items: str) -> str:
     """The array cut into arrays of SCAN_BLOCK elements."""
-    return _let(items, lambda own: F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / SCAN_BLOCK).cast("int")), lambda b: F.slice(own, b * SCAN_BLOCK + 1, SCAN_BLOCK)))
+    return _let(items, "own", f"transform(sequence(0, cast(floor((size(own) - 1) / {SCAN_BLOCK}) AS int)), b -> slice(own, b * {SCAN_BLOCK} + 1, {SCAN_BLOCK}))")
 
 
-def _scanned(items: Column, zero: Column, value: Callable[[Column], Column], join: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
-    """``out(before, x)`` for each x, where ``before`` joins ``zero`` and the values of all elements ahead of x.
+def _scanned(items: str, zero: str, value: str, join: Callable[[str, str], str], out: str, kind: str) -> str:
+    """``out``, of ``before`` and x, for each x, where ``before`` joins ``zero`` and the ``value`` (of x) of all elements ahead.
 
     Blocks are summed first, so the work is that of n * (SCAN_BLOCK + n / SCAN_BLOCK**2) copies, not n * n.
     """
-    def walk(over: Column, start: Column, of: Callable[[Column], Column], made: Callable[[Column, Column], Column], made_kind: str) -> Column:
-        return F.aggregate(
-            over,
-            F.struct(start.alias("at"), F.array().cast(f"array<{made_kind}>").alias("out")),
-            lambda acc, x: F.struct(join(acc["at"], of(x)).alias("at"), F.array_append(acc["out"], made(acc["at"], x)).alias("out")),
-        )["out"]
 
-    def whole(blocks: Column) -> Column:
-        totals = F.transform(blocks, lambda block: F.aggregate(block, zero, lambda acc, x: join(acc, value(x))))
-        starts = walk(totals, zero, lambda x: x, lambda at, x: at, "int")
-        return F.flatten(F.zip_with(blocks, starts, lambda block, start: walk(block, start, value, out, kind)))
+    def walk(over: str, start: str, of: str, made: str, made_kind: str) -> str:
+        made = _let("acc.at", "before", made)
+        step = f"named_struct('at', {join('acc.at', of)}, 'out', array_append(acc.out, {made}))"
+        return f"aggregate({over}, named_struct('at', {start}, 'out', cast(array() AS array<{made_kind}>)), (acc, x) -> {step}).out"
 
-    return _let(_blocks(items), whole)
+    totals = f"transform(blocks, block -> aggregate(block, {zero}, (acc, x) -> {join('acc', value)}))"
+    starts = walk(totals, zero, "x", "before", "int")
+    whole = f"flatten(zip_with(blocks, {starts}, (block, since) -> {walk('block', 'since', value, out, kind)}))"
+    return _let(_blocks(items), "blocks", whole)
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """[(start, end, value, left)] of the leftmost non-overlapping matches, in code points, end exclusive.
+def _located(text: str, pattern: str) -> str:
+    """[(start, end, value, left)] of the leftmost non-overlapping matches, in code points, end exclusive; null if there are none.
 
     ``left`` is what stands between the match before and this one, CONTEXT characters of it.
     """
-    def placed(values: Column) -> Column:
-        pairs = F.arrays_zip(values.alias("value"), F.slice(F.split(text, pattern, -1), 1, F.size(values)).alias("gap"))
-        sized = F.transform(pairs, lambda x: F.struct(x["value"].alias("value"), F.length(x["gap"]).alias("skip"), F.length(x["value"]).alias("size"), F.right(x["gap"], F.lit(CONTEXT)).alias("left")))
-        found = _scanned(
-            sized, F.lit(0), lambda x: x["skip"] + x["size"], lambda a, b: a + b,
-            lambda at, x: F.struct((at + x["skip"]).alias("start"), (at + x["skip"] + x["size"]).alias("end"), x["value"].alias("value"), x["left"].alias("left")),
-            "struct<start:int,end:int,value:string,left:string>",
-        )
-        return F.when(F.size(values) > 0, found)
-
-    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    pattern = _quoted(pattern)
+    sized = f"named_struct('value', value, 'skip', length(gap), 'size', length(value), 'left', right(gap, {CONTEXT}))"
+    pairs = f"zip_with(hits, slice(split({text}, {pattern}, -1), 1, size(hits)), (value, gap) -> {sized})"
+    placed = "named_struct('start', before + x.skip, 'end', before + x.skip + x.size, 'value', x.value, 'left', x.`left`)"
+    found = _scanned(pairs, "0", "x.skip + x.size", lambda a, b: f"{a} + ({b})", placed, "struct<start:int,end:int,value:string,left:string>")
+    return _let(f"regexp_extract_all({text}, {pattern}, 0)", "hits", f"CASE WHEN size(hits) > 0 THEN {found} END")
 
 
-def _valid(kind: str, value: Column) -> Column:
-    digits = _digits(value)
+def _valid(kind: str, value: str) -> str:
+    n = f"length({_digits(value)})"
     if kind == "ip":
-        return F.regexp_like(value, F.lit(_IP_PARTS))
+        return f"regexp_like({value}, {_quoted(_IP_PARTS)})"
     if kind == "card":
-        return F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False)
+        return f"CASE WHEN {n} BETWEEN 12 AND 19 THEN {luhn(_digits(value))} ELSE false END"
     if kind == "phone":
-        return F.length(digits).between(9, 15)
-    return F.lit(True)
+        return f"{n} BETWEEN 9 AND 15"
+    return "true"
+
 
+def _features(kind: int) -> str:
+    """FEATURES of a candidate x of this kind."""
 
-def _features(kind: int, x: Column) -> Column:
-    value, left = x["value"], x["left"]
-    digits = _digits(value)
-    length = F.length(value)
+    def count(pattern: str) -> str:
+        return f"length(x.value) - length(regexp_replace(x.value, {_quoted(pattern)}, ''))"
 
-    def count(pattern: str) -> Column:
-        return length - F.length(F.regexp_replace(value, pattern, ""))
+    def says(pattern: str) -> str:
+        return f"regexp_like(x.`left`, {_quoted(pattern)})"
 
     fields = {
-        "kind": F.lit(kind), "length": length, "digits": F.length(digits), "letters": count("[A-Za-z]"), "upper": count("[A-Z]"), "marks": count("[^A-Za-z0-9]"),
-        "distinct": F.size(F.array_distinct(F.split(F.substr(value, F.lit(1), F.lit(64)), ""))), "luhn": F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False).cast("int"),
-        "quoted": F.regexp_like(left, F.lit("[\"'=:]\\s*$")).cast("int"), "hex": F.regexp_like(value, F.lit("^[0-9a-f]+$")).cast("int"),
-    } | {name: F.regexp_like(left, F.lit(pattern)).cast("int") for name, pattern in CONTEXT_WORDS.items()}
-    return F.array(*[fields[name].cast("double") for name in FEATURES])
+        "kind": str(kind), "length": "length(x.value)", "digits": f"length({_digits('x.value')})", "letters": count("[A-Za-z]"), "upper": count("[A-Z]"), "marks": count("[^A-Za-z0-9]"),
+        "distinct": "size(array_distinct(split(substr(x.value, 1, 64), '')))", "luhn": f"cast({_valid('card', 'x.value')} AS int)",
+        "quoted": f"cast({says('["' + "'" + '=:]' + chr(92) + 's*$')} AS int)", "hex": "cast(regexp_like(x.value, '^[0-9a-f]+$') AS int)",
+    } | {name: f"cast({says(pattern)} AS int)" for name, pattern in CONTEXT_WORDS.items()}
+    return f"array({', '.join(f'cast({fields[name]} AS double)' for name in FEATURES)})"
 
 
-def _searchable(text: Column) -> Column:
-    return F.coalesce(F.regexp_like(text, F.lit("[0-9]")) | F.contains(text, F.lit("@")) | F.contains(text, F.lit("[at]")) | F.contains(text, F.lit("(at)")), F.lit(False))
+def _searchable(text: str) -> str:
+    return f"coalesce(regexp_like({text}, '[0-9]') OR contains({text}, '@') OR contains({text}, '[at]') OR contains({text}, '(at)'), false)"
 
 
-def _base(text: Column) -> Column:
-    """Base spans [(start, kind number, end)] unordered; null if the text has none to search."""
-    needed = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
-    parts = []
+def _whole(spans: str, text: str, needed: str | None, kind: str) -> str:
+    """``spans``, or none where the text lacks what they need."""
+    some = f"CASE WHEN contains({text}, {_quoted(needed)}) THEN {spans} END" if needed else spans
+    return f"coalesce(cast({some} AS {kind}), cast(array() AS {kind}))"
+
+
+def _base(text: str) -> str:
+    """Base spans [(start, kind number, end)] unordered."""
+    needed, parts = {"email": "@", "phone": "+"}, []
     for number, kind in enumerate(KINDS[:4]):
-        found = F.filter(_located(text, BASE_RULES[kind]), lambda x: _valid(kind, x["value"]))
-        spans = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind"), x["end"].alias("end")))
-        spans = F.when(needed[kind], spans) if kind in needed else spans
-        parts.append(F.coalesce(spans, F.array().cast("array<struct<start:int,kind:int,end:int>>")))
-    return F.concat(*parts)
+        found = f"filter({_located(text, BASE_RULES[kind])}, x -> {_valid(kind, 'x.value')})"
+        spans = f"transform({found}, x -> named_struct('start', x.start, 'kind', {number}, 'end', x.`end`))"
+        parts.append(_whole(spans, text, needed.get(kind), "array<struct<start:int,kind:int,end:int>>"))
+    return f"concat({', '.join(parts)})"
 
 
-def _candidates(text: Column) -> Column:
+def _candidates(text: str) -> str:
     """Candidate spans [(start, kind, end, features)] of all generators."""
-    kind_of = "array<struct<start:int,kind:int,end:int,features:array<double>>>"
     parts = []
     for kind, pattern, needed in GENERATORS:
         number = KINDS.index(kind)
-        spans = F.transform(_located(text, pattern), lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind"), x["end"].alias("end"), _features(number, x).alias("features")))
-        spans = F.when(F.contains(text, F.lit(needed)), spans) if needed else spans
-        parts.append(F.coalesce(spans.cast(kind_of), F.array().cast(kind_of)))
-    return F.concat(*parts)
+        spans = f"transform({_located(text, pattern)}, x -> named_struct('start', x.start, 'kind', {number}, 'end', x.`end`, 'features', {_features(number)}))"
+        parts.append(_whole(spans, text, needed, "array<struct<start:int,kind:int,end:int,features:array<double>>>"))
+    return f"concat({', '.join(parts)})"
 
 
 @dataclass(frozen=True)
@@ -198,16 +199,15 @@ class Boosted:
 
         return self.start + sum(walk(t, x) for t in self.trees)
 
-    def column(self, features: Column) -> Column:
+    def sql(self, features: str) -> str:
+        """The score as SQL over an array of features."""
+
         def walk(tree):
             if not isinstance(tree, tuple):
-                return F.lit(float(tree))
-            return F.when(features[tree[0]] <= F.lit(float(tree[1])), walk(tree[2])).otherwise(walk(tree[3]))
+                return f"{float(tree)!r}D"
+            return f"CASE WHEN {features}[{int(tree[0])}] <= {float(tree[1])!r}D THEN {walk(tree[2])} ELSE {walk(tree[3])} END"
 
-        total = F.lit(self.start)
-        for tree in self.trees:
-            total = total + walk(tree)
-        return total
+        return " + ".join([f"{float(self.start)!r}D", *map(walk, self.trees)])
 
 
 def boost(x: np.ndarray, y: np.ndarray, *, rounds: int = 16, depth: int = 3, rate: float = 0.3, least: int = 12) -> tuple[float, tuple]:
@@ -296,7 +296,7 @@ def train(spark: SparkSession, *, n: int = 1600, seed: int = 11, precision: floa
     """
     if (n, seed, precision) not in _models:
         rows = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(synthetic(n, seed))], "i int, text string, y int")
-        found = rows.select("i", "y", F.explode(_candidates(F.col("text"))).alias("c")).select("i", "y", "c.kind", "c.features").orderBy("i", "c.start").collect()
+        found = rows.select("i", "y", F.explode(F.expr(_candidates("text"))).alias("c")).select("i", "y", "c.kind", "c.features").orderBy("i", "c.start").collect()
         x, y, kind, held = np.array([r.features for r in found]), np.array([r.y for r in found], float), np.array([r.kind for r in found]), np.array([r.i % 8 in (2, 3) for r in found])
         start, trees = boost(x[~held], y[~held])
         model = Boosted(start, trees, (0.0,) * len(KINDS))
@@ -309,19 +309,22 @@ def train(spark: SparkSession, *, n: int = 1600, seed: int = 11, precision: floa
     return _models[n, seed, precision]
 
 
-def _beside(spans: Column) -> Column:
+_SPAN = "struct<start:int,kind:int,end:int,base:boolean>"
+
+
+def _beside(spans: str) -> str:
     """Chosen spans that overlap no base span, from all spans in order; two scans, one each way.
 
     Of the base spans ahead the last end counts, of those behind the first start.
     """
-    never = F.lit(2**31 - 1)
-    ahead = _scanned(spans, F.lit(0), lambda x: F.when(x["base"], x["end"]).otherwise(0), lambda a, b: F.greatest(a, b), lambda at, x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["base"].alias("base"), (at <= x["start"]).alias("free")), _SPAN[:-1] + ",free:boolean>")
-    behind = _scanned(F.reverse(ahead), never, lambda x: F.when(x["base"], x["start"]).otherwise(never), lambda a, b: F.least(a, b), lambda at, x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["base"].alias("base"), (x["free"] & (at >= x["end"])).alias("free")), _SPAN[:-1] + ",free:boolean>")
-    left = F.filter(F.reverse(behind), lambda x: x["base"] | x["free"])
-    return F.transform(left, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "kind", "end", "base")]))
+    never, kind = str(2**31 - 1), _SPAN[:-1] + ",free:boolean>"
 
+    def freed(free: str) -> str:
+        return f"named_struct('start', x.start, 'kind', x.kind, 'end', x.`end`, 'base', x.base, 'free', {free})"
 
-_SPAN = "struct<start:int,kind:int,end:int,base:boolean>"
+    ahead = _scanned(spans, "0", "CASE WHEN x.base THEN x.`end` ELSE 0 END", lambda a, b: f"greatest({a}, {b})", freed("before <= x.start"), kind)
+    behind = _scanned(f"reverse({ahead})", never, f"CASE WHEN x.base THEN x.start ELSE {never} END", lambda a, b: f"least({a}, {b})", freed("x.free AND before >= x.`end`"), kind)
+    return f"transform(filter(reverse({behind}), x -> x.base OR x.free), x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.`end`, 'base', x.base))"
 
 
 def find(docs: DataFrame, model: Boosted, *, text: str = "text", spans: str = "pii_spans") -> DataFrame:
@@ -335,20 +338,21 @@ def find(docs: DataFrame, model: Boosted, *, text: str = "text", spans: str = "p
     whatever their names.  Memory is a small multiple of a text and its matches.
     """
     kept = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c != spans])
-    held = unused("pii", docs.columns)
-    column = kept[f"`{text}`"]
+    held, own = unused("pii", docs.columns), f"`{text}`"
     names = [F.col(f"`{c}`") for c in kept.columns]
-    searched = kept.select(*names, F.when(_searchable(column), F.struct(_base(column).alias("base"), _candidates(column).alias("more"))).alias(held))
-    limits = F.array(*[F.lit(float(t)) for t in model.thresholds])
-    base = F.transform(F.col(held)["base"], lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(True).alias("base")))
-    chosen = F.filter(F.col(held)["more"], lambda x: model.column(x["features"]) >= limits[x["kind"]])
-    added = F.transform(chosen, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(False).alias("base")))
+    searched = kept.select(*names, F.expr(f"CASE WHEN {_searchable(own)} THEN named_struct('base', {_base(own)}, 'more', {_candidates(own)}) END").alias(held))
+
+    def marked(array: str, base: str) -> str:
+        return f"transform({array}, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.`end`, 'base', {base}))"
+
+    limits = f"array({', '.join(f'{float(t)!r}D' for t in model.thresholds)})"
+    chosen = f"filter(`{held}`.more, x -> {model.sql('x.features')} >= {limits}[x.kind])"
     both = unused("spans", [*docs.columns, held])
-    searched = searched.select(*names, F.when(F.col(held).isNotNull(), F.array_sort(F.array_distinct(F.concat(base, added)))).alias(both), (F.size(base) > 0).alias(held))
+    every = f"array_sort(array_distinct(concat({marked(f'`{held}`.base', 'true')}, {marked(chosen, 'false')})))"
+    searched = searched.select(*names, F.expr(f"CASE WHEN `{held}` IS NOT NULL THEN {every} END").alias(both), F.expr(f"size(`{held}`.base) > 0").alias(held))
     # without base spans, or without others, nothing can overlap
-    mixed = F.col(held) & F.exists(both, lambda x: ~x["base"])
-    found = F.when(F.size(both) > 0, F.when(mixed, _beside(F.col(both))).otherwise(F.col(both)))
-    return searched.select(*names, F.coalesce(found, F.array().cast(f"array<{_SPAN}>")).cast(f"array<{_SPAN}>").alias(spans))
+    found = f"CASE WHEN size(`{both}`) > 0 THEN CASE WHEN `{held}` AND exists(`{both}`, x -> NOT x.base) THEN {_beside(f'`{both}`')} ELSE `{both}` END END"
+    return searched.select(*names, F.expr(f"cast(coalesce({found}, cast(array() AS array<{_SPAN}>)) AS array<{_SPAN}>)").alias(spans))
 
 
 def listed(spans: Column) -> Column:
@@ -363,15 +367,13 @@ def redacted(text: Column, spans: Column) -> Column:
     ``spans`` are in order of start.  A block of spans takes its stretch of the
     text once, and each span of it a part of that stretch.
     """
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    names = f"array({', '.join(_quoted(f'[{k.upper()}]') for k in KINDS)})"
     kind = "struct<after:int,start:int,kind:int,end:int>"
-    placed = _scanned(spans, F.lit(0), lambda x: x["end"], lambda a, b: F.greatest(a, b), lambda at, x: F.struct(at.alias("after"), x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")), kind)
-
-    def stretch(block: Column) -> Column:
-        since, to = F.get(block, F.lit(0))["after"], F.greatest(F.element_at(block, -1)["start"], F.element_at(block, -1)["after"])
-        own = F.struct(F.substr(text, since + 1, to - since).alias("text"), since.alias("since"))
-        parts = _let(own, lambda o: F.transform(block, lambda x: F.when(x["start"] >= x["after"], F.concat(F.substr(o["text"], x["after"] - o["since"] + 1, x["start"] - x["after"]), names[x["kind"]])).otherwise("")))
-        return F.array_join(parts, "")
-
-    last = F.array_max(F.transform(spans, lambda x: x["end"]))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(_blocks(placed), stretch), ""), F.substr(text, last + 1))).otherwise(text)
+    placed = _scanned("o.spans", "0", "x.`end`", lambda a, b: f"greatest({a}, {b})", "named_struct('after', before, 'start', x.start, 'kind', x.kind, 'end', x.`end`)", kind)
+    since, to = "get(block, 0).after", "greatest(element_at(block, -1).start, element_at(block, -1).after)"
+    stretch = f"named_struct('text', substr(o.text, {since} + 1, {to} - {since}), 'since', {since})"
+    named = f"CASE WHEN x.start >= x.after THEN concat(substr(part.text, x.after - part.since + 1, x.start - x.after), {names}[x.kind]) ELSE '' END"
+    stretches = f"transform({_blocks(placed)}, block -> array_join({_let(stretch, 'part', f'transform(block, x -> {named})')}, ''))"
+    last = "array_max(transform(o.spans, x -> x.`end`))"
+    body = F.expr(f"o -> CASE WHEN size(o.spans) > 0 THEN concat(array_join({stretches}, ''), substr(o.text, {last} + 1)) ELSE o.text END")
+    return F.get(F.call_function("transform", F.array(F.struct(text.alias("text"), spans.alias("spans"))), body), F.lit(0))
