@@ -348,7 +348,8 @@ def find(docs: DataFrame, model: Boosted, *, text: str = "text", spans: str = "p
     limits = f"array({', '.join(f'{float(t)!r}D' for t in model.thresholds)})"
     chosen = f"filter(`{held}`.more, x -> {model.sql('x.features')} >= {limits}[x.kind])"
     both = unused("spans", [*docs.columns, held])
-    every = f"array_sort(array_distinct(concat({marked(f'`{held}`.base', 'true')}, {marked(chosen, 'false')})))"
+    # equal spans stand side by side: a distinct of structs would compare all with all
+    every = _let(f"sort_array(concat({marked(f'`{held}`.base', 'true')}, {marked(chosen, 'false')}))", "own", "filter(own, (x, i) -> coalesce(x <> get(own, i - 1), true))")
     searched = searched.select(*names, F.expr(f"CASE WHEN `{held}` IS NOT NULL THEN {every} END").alias(both), F.expr(f"size(`{held}`.base) > 0").alias(held))
     # without base spans, or without others, nothing can overlap
     found = f"CASE WHEN size(`{both}`) > 0 THEN CASE WHEN `{held}` AND exists(`{both}`, x -> NOT x.base) THEN {_beside(f'`{both}`')} ELSE `{both}` END END"
