@@ -44,7 +44,7 @@ SAMPLE_ONE_IN, SAMPLE_TEXTS = 8, 4_000_000
 FREQUENT = 500_000
 #: Parts that a sample's counts are dealt into, and elements that a task holds before it sends them.
 COUNT_PARTS, COUNT_HELD = 2048, 1 << 21
-#: Rows from which on a group is large, and rows of one element beyond which it is dealt into pieces.
+#: Rows from which on a group is large, and texts with one element (by the sample) beyond which it is dealt into pieces.
 LARGE_GROUP = 12
 PIECE_ROWS = 200_000
 #: One in so many rows of a piece speaks for it among the pieces of an element.
@@ -146,7 +146,8 @@ def _signed(docs: DataFrame) -> DataFrame:
 def _prefixes(docs: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
     """(id, h1, n, prefix, piece) of each text with words: the elements that a partner must share one of, rarest first.
 
-    Elements are ordered by count in the sample, then hash.  ``piece`` is 0 but for elements with so many rows that they are dealt by set.
+    Elements are ordered by count in the sample, then hash.  ``piece`` is 0 but for elements in so many texts
+    that their rows are dealt by set, which have pieces from 1 on.
     """
     context = docs.sparkSession.sparkContext.broadcast(frequent)
     fields = [docs.schema["id"], T.StructField("h1", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("piece", T.ArrayType(T.IntegerType()))]
@@ -169,8 +170,8 @@ def _prefixes(docs: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndar
                         order = np.argsort(count, kind="stable")
                         own = own[order]
                         dealt = -(-count[order][:keep].astype(np.int64) * one_in // PIECE_ROWS)
-                        if dealt.any():
-                            piece = (np.uint64(key) % np.maximum(dealt, 1).astype(np.uint64)).astype(np.int32)
+                        if (dealt > 1).any():
+                            piece = np.where(dealt > 1, np.uint64(key) % np.maximum(dealt, 1).astype(np.uint64) + np.uint64(1), 0).astype(np.int32)
                     prefixes.append(own[:keep].view(np.int64))
                     pieces.append(piece)
                 sizes = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
@@ -193,7 +194,10 @@ def _sized(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Groups:
-    """Turns rows (token, piece, size, node) in this order into pairs, neighbours and rows of large groups."""
+    """Turns rows (token, piece, size, node) in this order into pairs, neighbours and rows of large groups.
+
+    A piece of a dealt element counts as large with any number of rows: its partners may be in other pieces.
+    """
 
     names = ("kind", "token", "piece", "place", "size", "node", "other")
 
@@ -261,12 +265,13 @@ class _Groups:
             self.held = [rows[starts[-1] :]]
             starts, ends = starts[:-1], ends[:-1]
         counts = ends - starts
-        some = np.flatnonzero((counts > 1) & (counts < LARGE_GROUP))
+        small = (counts < LARGE_GROUP) & (rows[starts, 1] == 0)
+        some = np.flatnonzero((counts > 1) & small)
         if len(some):
             at = np.repeat(starts[some] - np.cumsum(counts[some]) + counts[some], counts[some]) + np.arange(counts[some].sum())
             begin = np.repeat(np.cumsum(counts[some]) - counts[some], counts[some])
             yield from self._small(rows[at], begin)
-        for k in np.flatnonzero(counts >= LARGE_GROUP).tolist():
+        for k in np.flatnonzero(~small).tolist():
             self.large, self.rows, self.last = tuple(rows[starts[k], :2].tolist()), 0, None
             yield from self._stretch(rows[starts[k] : ends[k]])
 

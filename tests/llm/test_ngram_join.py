@@ -88,6 +88,18 @@ def test_other_percents(spark, monkeypatch, percent):
         N.near_duplicates(docs, percent=0)
 
 
+def test_few_rows_of_an_element_in_pieces(spark, monkeypatch):
+    """An element in so many texts that it is dealt, but in few prefixes: its small pieces still meet each other."""
+    monkeypatch.setattr(N, "PIECE_ROWS", 20)
+    monkeypatch.setattr(N, "SAMPLE_ONE_IN", 1)
+    passage = " ".join(f"c{k}" for k in range(8))
+    rows = [(0, passage)] + [(i, f"{passage} end{i}") for i in range(1, 9)]
+    rows += [(i, f"{passage} " + " ".join(f"t{i}x{k}" for k in range(30))) for i in range(100, 220)]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+    assert all(r.component_id == 0 for r in got if r.doc_id < 9)
+
+
 def test_one_id_on_two_texts(spark):
     """Rows of one id with different texts are nodes of their own, each linked by its own text."""
     one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
