@@ -493,6 +493,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "
     keyed = signed.where("n > 0 AND id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("bits").alias("bits"))
     nodes = scratch.keep(keyed.withColumn("node", F.monotonically_increasing_id()))
     frequent = frequent_marks(plain, scratch)
+    dealt = bool((frequent[1].astype(np.int64) * frequent[2] > PIECE_ROWS).any())
     marks = nodes.select(F.col("rep").alias("id"), "h1", "node")
     few = nodes.count() <= BROADCAST_IDS
     found = _prefixes(plain, percent, frequent).join(F.broadcast(marks) if few else marks, ["id", "h1"])
@@ -525,7 +526,10 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text: str = "
         return True
 
     if not rows.isEmpty():
-        confirmed(pairs(NEIGHBOURS).union(_heads(rows, percent)).distinct(), bitmaps=True)
+        near = pairs(NEIGHBOURS)
+        if dealt:  # elements in pieces
+            near = near.union(_heads(rows, percent)).distinct()
+        confirmed(near, bitmaps=True)
         for forest in (True, False):  # likeliest pairs first; where there are none, no others are left
             across = _tile_pairs(rows, families, nodes, percent, forest, scratch)
             if across is None or not confirmed(across, bitmaps=False):

@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import LOWER, Prefix, buffers, windows, with_columns, word_bounds
+from .kernel import LOWER, Prefix, buffers, release, windows, with_columns, word_bounds
 
 SLOTS = 1 << 18
+#: Rated rows whose features are gone through at once by the fit.
+FIT_ROWS = 500
 #: Bytes of a letter run's first part that are features too, so that inflected words share weight.
 STEMS = (4, 5, 6)
 #: Upper ends of the steps of a form feature that is a share.
@@ -93,26 +95,35 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, *, n_grades: int, penalty: f
     if not len(rows) or low.all() or not low.any():
         warnings.warn("ratings on one side of the top grade, or none: the model knows their shares only", stacklevel=2)
         return Model(weights.astype(np.float32), np.array([np.log(((grades < k).sum() + 1) / ((grades >= k).sum() + 1)) for k in range(1, n_grades)]))
-    cols, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    bad, all_ = np.bincount(cols[low[owner]], minlength=SLOTS), np.bincount(cols, minlength=SLOTS)
+    parts = [slice(k, k + FIT_ROWS) for k in range(0, len(rows), FIT_ROWS)]
+    bad, all_ = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+    for part in parts:
+        lens = [len(r) for r in rows[part]]
+        cols = np.concatenate(rows[part])
+        bad += np.bincount(cols[np.repeat(low[part], lens)], minlength=SLOTS)
+        all_ += np.bincount(cols, minlength=SLOTS)
     a, b, c, d = bad + 0.5, all_ - bad + 0.5, low.sum() - bad + 0.5, (~low).sum() - (all_ - bad) + 0.5
     odds = np.log(a * d / (b * c))
     used = np.flatnonzero((np.abs(odds) > min_z * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)) & (all_ >= 5))
     place = np.full(SLOTS, -1)
     place[used] = np.arange(len(used))
-    cols = place[cols]
-    owner, cols = owner[cols >= 0], cols[cols >= 0]
-    value = -odds[used][cols]
+    values, held = -odds[used], []
+    for part in parts:
+        own = [x[x >= 0] for x in (place[r] for r in rows[part])]
+        held.append((part, np.concatenate(own).astype(np.int32), [len(x) for x in own]))
     n, levels, at = len(rows), np.arange(1, n_grades), np.arange(len(rows))
     w = np.zeros(len(used))
     m = v = np.zeros(len(used) + n_grades - 1)
     for step in range(1, steps + 1):
-        score = np.bincount(owner, weights=w[cols] * value, minlength=n)
+        score = np.concatenate([np.bincount(np.repeat(np.arange(len(lens)), lens), weights=w[cols] * values[cols], minlength=len(lens)) for _, cols, lens in held])
         tails = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -40, 40))), np.zeros((n, 1))], axis=1)
         own, above = tails[at, grades], tails[at, grades + 1]
         p = np.maximum(own - above, 1e-9)
         d_own, d_above = own * (1 - own) / p, above * (1 - above) / p
-        g_w = penalty * w - np.bincount(cols, weights=(d_own - d_above)[owner] * value, minlength=len(used)) / n
+        pull = np.zeros(len(used))
+        for part, cols, lens in held:  # adds in the order of the rows, so parts change no bit
+            np.add.at(pull, cols.astype(np.intp), np.repeat((d_own - d_above)[part], lens) * values[cols])
+        g_w = penalty * w - pull / n
         g_cut = [(d_own[grades == k].sum() - d_above[grades + 1 == k].sum()) / n for k in levels]
         grad = np.concatenate([g_w, g_cut])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
@@ -141,7 +152,10 @@ def train(docs: DataFrame, ratings: DataFrame, *, grade: str = "grade", key: str
         return work
 
     rows = with_columns(found, ["t"], [T.StructField("slots", T.BinaryType())], make).select("k", "g", "slots").orderBy(F.xxhash64("k"), "k", "g").limit(max_rows).collect()
-    return fit([np.frombuffer(r.slots, "<i4") for r in rows], np.array([r.g for r in rows], np.int64), n_grades=n_grades)
+    model = fit([np.frombuffer(r.slots, "<i4") for r in rows], np.array([r.g for r in rows], np.int64), n_grades=n_grades)
+    del rows
+    release()  # the driver's process stays
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", select_at: int | None = None, threshold: float = 0.75, expected: str = "expected_grade", tail: str = "tail_prob", kept: str = "kept") -> DataFrame:

@@ -1,5 +1,7 @@
 """Held-out quality of the ordinal model, its gradient-free checks and edge cases."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -56,3 +58,19 @@ def test_one_sided_or_no_ratings(spark):
         rows = Q.score(docs, model).collect()
         want = (sum(g >= 2 for g in grades) + 1) / (len(grades) + 2)
         assert all(abs(r.tail_prob - want) < 1e-6 and r.kept == most_likely_kept for r in rows)
+
+
+def test_fit_counts_in_parts(monkeypatch):
+    """Features are counted by parts of the rows: the model stays the same, and the driver needs little beside them."""
+    r = np.random.default_rng(1)
+    grades = r.integers(0, 3, 1500)
+    rows = [np.unique(np.concatenate([r.integers(0, Q.SLOTS, 1000), r.integers(0, 3000, 100) * (g + 1)]) % Q.SLOTS).astype("<i4") for g in grades]
+    models = []
+    for n in (len(rows), 100):
+        monkeypatch.setattr(Q, "FIT_ROWS", n, raising=False)
+        tracemalloc.start()
+        models.append(Q.fit(rows, grades, n_grades=3, steps=3))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert (models[0].weights != 0).any() and np.array_equal(models[0].weights, models[1].weights) and np.array_equal(models[0].thresholds, models[1].thresholds)
+    assert peak < 16 * 8 * Q.SLOTS  # some arrays over all slots; those over all features took 52 MB
