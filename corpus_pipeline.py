@@ -70,7 +70,9 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spans, text = unused("spans", docs.columns), unused("text", docs.columns)
     found = pii.find(docs, pii.train(spark), spans=spans).withColumn(text, pii.redacted(F.col("text"), F.col(spans)))
     changed = {"text": F.col(text), "n_chars": F.when(F.size(spans) > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))}
-    return found.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    out = found.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    pii.forget_parses(spark)
+    return out
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

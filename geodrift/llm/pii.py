@@ -62,6 +62,14 @@ FEATURES = ("kind", "length", "digits", "letters", "upper", "marks", "distinct",
 # take tens of thousands of round trips to the JVM.  Values passed along are SQL themselves.
 
 
+def forget_parses(spark: SparkSession) -> None:
+    """Drops the tables that Spark's parser keeps of what it has read: after texts as long as these, some 50 MB of the driver's heap.
+
+    Later parses fill them anew as far as they need them; no result depends on them.
+    """
+    spark._jvm.org.apache.spark.sql.catalyst.parser.SqlBaseParser(None).getInterpreter().clearDFA()
+
+
 def _quoted(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -297,6 +305,7 @@ def train(spark: SparkSession, *, n: int = 1600, seed: int = 11, precision: floa
     if (n, seed, precision) not in _models:
         rows = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(synthetic(n, seed))], "i int, text string, y int")
         found = rows.select("i", "y", F.explode(F.expr(_candidates("text"))).alias("c")).select("i", "y", "c.kind", "c.features").orderBy("i", "c.start").collect()
+        forget_parses(spark)
         x, y, kind, held = np.array([r.features for r in found]), np.array([r.y for r in found], float), np.array([r.kind for r in found]), np.array([r.i % 8 in (2, 3) for r in found])
         start, trees = boost(x[~held], y[~held])
         model = Boosted(start, trees, (0.0,) * len(KINDS))
@@ -353,7 +362,9 @@ def find(docs: DataFrame, model: Boosted, *, text: str = "text", spans: str = "p
     searched = searched.select(*names, F.expr(f"CASE WHEN `{held}` IS NOT NULL THEN {every} END").alias(both), F.expr(f"size(`{held}`.base) > 0").alias(held))
     # without base spans, or without others, nothing can overlap
     found = f"CASE WHEN size(`{both}`) > 0 THEN CASE WHEN `{held}` AND exists(`{both}`, x -> NOT x.base) THEN {_beside(f'`{both}`')} ELSE `{both}` END END"
-    return searched.select(*names, F.expr(f"cast(coalesce({found}, cast(array() AS array<{_SPAN}>)) AS array<{_SPAN}>)").alias(spans))
+    searched = searched.select(*names, F.expr(f"cast(coalesce({found}, cast(array() AS array<{_SPAN}>)) AS array<{_SPAN}>)").alias(spans))
+    forget_parses(docs.sparkSession)
+    return searched
 
 
 def listed(spans: Column) -> Column:

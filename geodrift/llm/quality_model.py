@@ -9,6 +9,7 @@ expected grade and the tail probability P(grade >= k) used for selection.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,6 +80,16 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
+#: What a fit on ratings of one side says.
+ONE_SIDED = "ratings on one side of the top grade, or none: the model knows their shares only"
+
+
+def one_sided(grades: np.ndarray, n_grades: int) -> bool:
+    """Whether no grade, all grades or none of them are below the top one."""
+    low = grades < n_grades - 1
+    return bool(low.all() or not low.any())
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, *, n_grades: int, penalty: float = 0.005, steps: int = 200, min_z: float = 3.0) -> Model:
     """Maximum penalised likelihood by full-batch Adam, deterministic.
 
@@ -92,8 +103,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, *, n_grades: int, penalty: f
     weights = np.zeros(SLOTS)
     cuts = np.linspace(-2.0, -1.0, n_grades - 1)
     low = grades < n_grades - 1
-    if not len(rows) or low.all() or not low.any():
-        warnings.warn("ratings on one side of the top grade, or none: the model knows their shares only", stacklevel=2)
+    if one_sided(grades, n_grades):
+        warnings.warn(ONE_SIDED, stacklevel=2)
         return Model(weights.astype(np.float32), np.array([np.log(((grades < k).sum() + 1) / ((grades >= k).sum() + 1)) for k in range(1, n_grades)]))
     parts = [slice(k, k + FIT_ROWS) for k in range(0, len(rows), FIT_ROWS)]
     bad, all_ = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
@@ -138,7 +149,8 @@ def train(docs: DataFrame, ratings: DataFrame, *, grade: str = "grade", key: str
 
     ``grade`` runs from 0 to ``n_grades - 1``; ratings that are null or outside
     are left out, as are rated rows with a null text.  The bound holds what is
-    broadcast (keys) and collected (feature slots) whatever the size of docs.
+    broadcast (keys) and what the task that fits holds (feature slots) whatever the
+    size of docs; the driver gets the model alone.
     """
     rated = ratings.select(F.col(f"`{key}`").alias("k"), F.col(f"`{grade}`").cast("int").alias("g")).where(f"k IS NOT NULL AND g BETWEEN 0 AND {n_grades - 1}")
     rated = rated.groupBy("k").agg(F.min("g").alias("g")).orderBy(F.xxhash64("k"), "k").limit(max_rows)
@@ -151,11 +163,32 @@ def train(docs: DataFrame, ratings: DataFrame, *, grade: str = "grade", key: str
 
         return work
 
-    rows = with_columns(found, ["t"], [T.StructField("slots", T.BinaryType())], make).select("k", "g", "slots").orderBy(F.xxhash64("k"), "k", "g").limit(max_rows).collect()
-    model = fit([np.frombuffer(r.slots, "<i4") for r in rows], np.array([r.g for r in rows], np.int64), n_grades=n_grades)
-    del rows
-    release()  # the driver's process stays
-    return model
+    chosen = with_columns(found, ["t"], [T.StructField("slots", T.BinaryType())], make).select("g", "slots", "k").orderBy(F.xxhash64("k"), "k", "g").limit(max_rows)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, grades = [], []
+        for batch in batches:
+            grades += batch.column(0).to_pylist()
+            rows += [np.frombuffer(x, "<i4") for x in batch.column(1).to_pylist()]
+        grades = np.array(grades, np.int64)
+        with warnings.catch_warnings():  # the driver warns
+            warnings.simplefilter("ignore")
+            model = fit(rows, grades, n_grades=n_grades)
+        slots = np.flatnonzero(model.weights).astype("<i4")
+        held = [slots.tobytes(), model.weights[slots].astype("<f4").tobytes(), model.thresholds.astype("<f8").tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([one_sided(grades, n_grades)])] + [pa.array([x], pa.binary()) for x in held], names=["one_sided", "slots", "weights", "thresholds"])
+        del rows
+        release()
+
+    # one task holds the bounded rows; the driver gets the model only
+    got = chosen.coalesce(1).mapInArrow(fitted, "one_sided boolean, slots binary, weights binary, thresholds binary").collect()
+    if not got:  # no partition at all
+        return fit([], np.zeros(0, np.int64), n_grades=n_grades)
+    if got[0].one_sided:
+        warnings.warn(ONE_SIDED, stacklevel=2)
+    weights = np.zeros(SLOTS, np.float32)
+    weights[np.frombuffer(got[0].slots, "<i4")] = np.frombuffer(got[0].weights, "<f4")
+    return Model(weights, np.frombuffer(got[0].thresholds, "<f8").copy())
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", select_at: int | None = None, threshold: float = 0.75, expected: str = "expected_grade", tail: str = "tail_prob", kept: str = "kept") -> DataFrame:

@@ -1,10 +1,12 @@
 """Held-out quality of the ordinal model, its gradient-free checks and edge cases."""
 
+import os
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from geodrift.llm import quality_model as Q
 
@@ -74,3 +76,24 @@ def test_fit_counts_in_parts(monkeypatch):
         tracemalloc.stop()
     assert (models[0].weights != 0).any() and np.array_equal(models[0].weights, models[1].weights) and np.array_equal(models[0].thresholds, models[1].thresholds)
     assert peak < 16 * 8 * Q.SLOTS  # some arrays over all slots; those over all features took 52 MB
+
+
+def test_fit_leaves_the_driver_alone(spark, monkeypatch):
+    """The rated rows' features stay off the driver, whose model is that of a fit on them, to the bit."""
+    r = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 400, 60)) + (" bad" if k % 3 else " good") for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    ratings = spark.createDataFrame([(k, 0 if k % 3 else 2) for k in range(300)], "doc_id long, grade int")
+    order = [x.k for x in docs.selectExpr("doc_id AS k").orderBy(F.xxhash64("k"), "k").collect()]
+    doc, slots = Q.features(pa.array([texts[k] for k in order]))
+    want = Q.fit(np.split(slots.astype("<i4"), np.searchsorted(doc, np.arange(1, 300))), np.array([0 if k % 3 else 2 for k in order]), n_grades=3)
+
+    real, driver = Q.fit, os.getpid()
+
+    def fit(*args, **kw):
+        assert os.getpid() != driver, "the driver fits"
+        return real(*args, **kw)
+
+    monkeypatch.setattr(Q, "fit", fit)
+    got = Q.train(docs, ratings)
+    assert (want.weights != 0).any() and np.array_equal(got.weights, want.weights) and np.array_equal(got.thresholds, want.thresholds)
